@@ -31,6 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +184,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
         enc = library_encoder(vocabulary)
         end = np.uint32(end_id).tobytes()
         sent: set[bytes] = set()
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
             for part in bpe.runs(texts(batch)):
@@ -200,9 +202,9 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
                             sent.add(name)
                             rows.append(("chunk", name, None, len(chunk), pack(chunk), None))
                     doc_id = doc_ids[at]
-                    at += 1
-                    # a recipe's name only has to differ from all others, whatever repeats in the table
-                    rows.append(("recipe", merkle(names) + os.urandom(12), doc_id, len(ids), None, names))
+                    at, row = at + 1, row + 1
+                    # a recipe's name differs from all others whatever repeats in the table, and is the same when a task runs again
+                    rows.append(("recipe", merkle(names) + task.to_bytes(4, "big") + row.to_bytes(8, "big"), doc_id, len(ids), None, names))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
     rows = docs.select("doc_id", "text").mapInArrow(run, ROW).dropDuplicates(["kind", "name"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithograph.llm import bpe, chunk_store
+from lithograph.llm import bpe, chunk_store, simhash
 from lithograph.llm.common import shared_dir, table
 
 
@@ -14,12 +14,17 @@ def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.verify(spark, path)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
 QUERIES = {
     "op3_chunk_store": op3_chunk_store,
+    "op6_simhash": op6_simhash,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
