@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithograph.llm import bpe, chunk_store, simhash
-from lithograph.llm.common import shared_dir, table
+from lithograph.llm import bpe, chunk_store, decontaminate, language_id, quality_rules, simhash, url_filter
+from lithograph.llm.common import id_crc, shared_dir, table
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +19,40 @@ def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.verify(spark, path)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 5 == 0
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.rules(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_chunk_store": op3_chunk_store,
+    "op4_language_id": op4_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
+    "op8_url_filter": op8_url_filter,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
+}
