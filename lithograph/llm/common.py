@@ -12,8 +12,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Longer texts are not taken into training samples, which are held on the driver; all texts are scored.
+SAMPLE_CHARS = 200_000
 #: Rows of a record batch that a Python worker gets at once.
 ARROW_ROWS = 400
 
@@ -104,5 +108,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
     """
     marks = labels.where(keep & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     return [(r["text"] or "", int(r["label"])) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+
+
+def word_ids(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words of many rows as numbers: the number and the row of each word, and the words by number."""
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    counts = np.fromiter(map(len, rows), np.int64, len(rows))
+    ids = np.fromiter((number[w] for ws in rows for w in ws), np.int64, int(counts.sum()))
+    return ids, np.repeat(np.arange(len(rows)), counts), list(number)

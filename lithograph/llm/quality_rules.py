@@ -16,15 +16,12 @@ n-gram scores 0; an empty target leaves the ratio at zero for all n-grams, so th
 
 from __future__ import annotations
 
-import itertools
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, lengths, seg_sum, small_batches, text_bytes
+from lithograph.llm.common import by_bytes, lengths, seg_sum, small_batches, text_bytes, word_ids
 
 GRAM, BUCKETS, SMOOTHING, THRESHOLD = 4, 1 << 16, 1.0, -0.25
 #: Fixed values of the base rules.
@@ -54,11 +51,9 @@ def _pairs(a: np.ndarray, b: np.ndarray, many: int) -> np.ndarray:
 def base_counts(rows: list[bytes]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     buf, starts, ends = _joined(rows)
-    number = defaultdict(itertools.count().__next__)
     words = [r.split() for r in rows]
+    ids, owner, number = word_ids(words)
     n_words = np.fromiter(map(len, words), np.int64, len(rows))
-    ids = np.fromiter((number[w] for ws in words for w in ws), np.int64, int(n_words.sum()))
-    owner = np.repeat(np.arange(len(rows)), n_words)
     repeat = np.zeros(len(ids), bool)
     if len(ids) >= 3:
         inside = owner[2:] == owner[:-2]

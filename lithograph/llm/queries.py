@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm import bpe, chunk_store, decontaminate, language_id, quality_rules, simhash, url_filter
+from lithograph.llm import bpe, chunk_store, decontaminate, language_id, pii, quality_crf, quality_rules, simhash, toxicity, url_filter
 from lithograph.llm.common import id_crc, shared_dir, table
 
 
@@ -13,6 +13,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 5 == 0
+    scored = quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, 0.3)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     chunk_store.write_store(table(spark, sf_dir, "documents"), path, bpe.default_vocabulary(), 2)
@@ -35,21 +41,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 3 == 1
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, 0.7)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality_crf": op2_quality_crf,
     "op3_chunk_store": op3_chunk_store,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
