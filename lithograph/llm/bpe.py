@@ -370,6 +370,22 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids (an array) of every document."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        enc = encoder(vocabulary)
+        for batch in batches:
+            at = 0
+            for part in runs(texts(batch)):
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode(part)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+                at += len(part)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the digest form, computed where the ids are made.
 

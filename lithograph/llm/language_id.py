@@ -30,6 +30,8 @@ WINDOW, HIDDEN = 128, 8
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 600, 2
 STEPS, LANES, TRAIN_WINDOW, RATE, SEED = 260, 192, 64, 0.02, 7
 PAD = 256
+#: accepted() also turns away texts whose best language has less than this mean probability.
+REJECT = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -246,3 +248,24 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 def identify(docs: DataFrame, training: Column) -> DataFrame:
     """Trains on the rows of ``docs`` that ``training`` holds for and labels every row."""
     return predict(docs, train(sample(docs, training)))
+
+
+def accepted(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of ``docs`` that have a language; those labelled ``und`` go, and those where no language
+    reaches REJECT. All columns as they came."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            rows, keep = text_bytes(batch), []
+            for lo, hi in by_bytes(rows, 2_000_000):
+                some = [model.value is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in rows[lo:hi]]
+                if any(some):
+                    sure = document_probabilities(model.value, rows[lo:hi]).max(1) >= REJECT
+                    some = (sure & np.array(some)).tolist()
+                keep.extend(some)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

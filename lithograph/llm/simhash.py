@@ -257,3 +257,12 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its class's id: one document of each class, all columns.
+
+    Rows that repeat a doc_id (or have none) count as one document, of which one row stays.
+    """
+    kept = near_duplicates(docs, folder).select(F.col("component_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
