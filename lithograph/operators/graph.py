@@ -178,7 +178,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = new
 
 
-def community_dependencies(communities: DataFrame, members: DataFrame, edges: DataFrame, evidence: int = 24) -> DataFrame:
+def community_dependencies(communities: DataFrame, members: DataFrame, edges: DataFrame, evidence: int = 24, digits: int = 4) -> DataFrame:
     """Edges between leaf communities by mapped type: weight, mean confidence, count, first edge ids."""
     parents = communities.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
     leaves = communities.join(parents, "id", "left_anti").select(F.col("id").alias("community_id"))
@@ -187,9 +187,13 @@ def community_dependencies(communities: DataFrame, members: DataFrame, edges: Da
     for side in ("source", "target"):
         ends = ends.join(home.select(F.col("node_id").alias(f"{side}_id"), F.col("community").alias(f"{side}_community_id")), f"{side}_id")
     kind = lookup(COMMUNITY_TYPES, F.col("type"), "depends_on")
-    grouped = ends.where("source_community_id <> target_community_id").groupBy("source_community_id", "target_community_id", kind.alias("kind"))
-    rows = grouped.agg(F.sum(F.greatest(F.lit(0.01), "weight")).alias("weight"), F.avg("confidence").alias("confidence"), F.count("*").alias("edge_count"), F.slice(F.array_sort(F.collect_list("id")), 1, evidence).alias("evidence"))
-    return rows.select("source_community_id", "target_community_id", "kind", F.round("weight", 4).alias("weight"), F.round("confidence", 4).alias("confidence"), "edge_count", F.array_join("evidence", ",").alias("evidence"))
+    keys = ["source_community_id", "target_community_id", "kind"]
+    rows = ends.where("source_community_id <> target_community_id").withColumn("kind", kind)
+    sums = rows.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0.01), "weight")).alias("weight"), F.avg("confidence").alias("confidence"), F.count("*").alias("edge_count"))
+    # a group may hold any number of edges; only its first ids are ever gathered
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    first = rows.select(*keys, "id").withColumn("place", place).where(F.col("place") <= evidence).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("evidence"))
+    return sums.join(first, keys).select(*keys, F.round("weight", digits).alias("weight"), F.round("confidence", digits).alias("confidence"), "edge_count", "evidence")
 
 
 def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

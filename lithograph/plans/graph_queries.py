@@ -167,12 +167,12 @@ def _(m):
     "agg_04_community_dependencies",
     """, h AS (SELECT node_id, min(community_id) AS c FROM g_members WHERE community_id NOT IN (SELECT parent_id FROM g_communities WHERE parent_id IS NOT NULL) GROUP BY node_id),
 x AS (SELECT a.c AS s, b.c AS t, CASE e.type WHEN 'calls' THEN 'calls_into' WHEN 'imports' THEN 'imports_from' WHEN 'exports' THEN 'imports_from' WHEN 'routes_to' THEN 'routes_to' ELSE 'depends_on' END AS kind, e.* FROM g_edges e JOIN h a ON a.node_id = e.source_id JOIN h b ON b.node_id = e.target_id WHERE e.type NOT IN ('contains', 'defines') AND a.c <> b.c)
-SELECT s AS source_community_id, t AS target_community_id, kind, round(sum(greatest(0.01, weight)), 4) AS weight, round(avg(confidence), 4) AS confidence, count(*) AS edge_count, array_to_string(list_sort(list(id))[1:24], ',') AS evidence FROM x GROUP BY ALL""",
+SELECT s AS source_community_id, t AS target_community_id, kind, round(sum(greatest(0.01, weight)), 9) AS weight, round(avg(confidence), 9) AS confidence, count(*) AS edge_count, array_to_string(list_sort(list(id))[1:24], ',') AS evidence FROM x GROUP BY ALL""",
     "g_communities", "g_members", "g_edges",
 )
 def _(m):
     # suppliers and orders sit in communities; link them through shared parts
-    return G.community_dependencies(m.communities, m.members, m.edges)
+    return G.community_dependencies(m.communities, m.members, m.edges, digits=9)
 
 
 @query(
