@@ -252,23 +252,28 @@ def lowered(word: str) -> str:
     return "".join(c.lower() for c in word) if "Σ" in word else word.lower()
 
 
-class Memory:
-    """Two generations of a dictionary: at most 2 * ``size`` entries, what is used often stays."""
+class Memory(dict):
+    """Two generations of a dictionary: at most 2 * ``size`` entries, what is used often stays.
+
+    Looking up an unknown key gives None and puts the key on the list of ``unknown`` ones.
+    """
 
     def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys not remembered; all others are in ``young`` afterwards."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        out, young, old = [], self.young, self.old
-        for k in keys - young.keys():
-            if (v := old.get(k)) is None:
-                out.append(k)
-            else:
-                young[k] = v
-        return out
+        self.size, self.old, self.unknown = size, {}, set()
+
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.old.get(key)
+        if value is None:
+            self.unknown.add(key)
+        else:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        """Between batches: a full generation becomes the old one."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
 
 
 def pieces(text: str) -> list[str]:
@@ -292,23 +297,33 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        special = self.vocabulary.special
-        parts: list[list] = []
+        special, memory = self.vocabulary.special, self.memory
+        memory.age()
+        parts: list[tuple[list[str], list]] = []
         for text in batch:
             if self.cut and "<|" in text:
-                parts.append([special[x] if x in special else pieces(x) for x in self.cut.split(text)])
+                ps, values = [], []
+                for x in self.cut.split(text):
+                    more = [x] if x in special else pieces(x)
+                    ps += more
+                    values += [np.uint32(special[x]).tobytes()] if x in special else map(memory.__getitem__, more)
             else:
-                parts.append([pieces(text)])
-        distinct: set[str] = set()
-        for ps in parts:
-            for p in ps:
-                if not isinstance(p, int):
-                    distinct.update(p)
-        missing = self.memory.missing(distinct)
-        ids = self.memory.young
-        if missing:
-            ids.update(zip(missing, self.merge([p.encode("utf-8", "surrogatepass") for p in missing]), strict=True))
-        return [b"".join([np.uint32(p).tobytes() if isinstance(p, int) else b"".join([ids[x] for x in p]) for p in ps]) for ps in parts]
+                ps = pieces(text)
+                values = list(map(memory.__getitem__, ps))
+            parts.append((ps, values))
+        if memory.unknown:
+            new = list(memory.unknown)
+            memory.unknown = set()
+            memory.update(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
+            for ps, values in parts:
+                try:
+                    at = values.index(None)
+                    while True:
+                        values[at] = memory[ps[at]]
+                        at = values.index(None, at + 1)
+                except ValueError:  # no further gap
+                    pass
+        return [b"".join(values) for _, values in parts]
 
 
 def decode(vocabulary: Vocabulary, ids: bytes) -> str:

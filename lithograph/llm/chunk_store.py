@@ -41,6 +41,8 @@ from lithograph.llm.common import small_batches, texts
 WINDOW = 16
 #: Ids in a chunk: a cut falls on one position in MEAN, never before LEAST or after MOST ids.
 LEAST, MEAN, MOST = 64, 512, 4096
+#: Entries of one generation of a worker's memory of pieces.
+PIECES = 400_000
 GEAR = (np.arange(1, 1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 GEAR = np.concatenate([GEAR, GEAR[:1]])
 
@@ -129,8 +131,8 @@ def _shift(n: int) -> int:
 
 def crc_of_concatenation(parts: list[tuple[int, int]]) -> int:
     """crc32 of the concatenation of parts given as (crc32, bytes)."""
-    out = 0
-    for crc, n in parts:
+    out = parts[0][0] if parts else 0
+    for crc, n in parts[1:]:
         out = _times(_shift(n), out) ^ crc
     return out
 
@@ -167,7 +169,7 @@ def library_encoder(path: str) -> bpe.Encoder:
                 out += [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
             return out
 
-        _ENCODERS[path] = bpe.Encoder(vocabulary, merge)
+        _ENCODERS[path] = bpe.Encoder(vocabulary, merge, PIECES)
     return _ENCODERS[path]
 
 
@@ -272,12 +274,16 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     def fold(batches):
         for batch in batches:
+            lists = batch.column(1)
+            flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            names, ns, crcs = flat.field("name").to_pylist(), flat.field("n").to_numpy(zero_copy_only=False).tolist(), flat.field("crc").to_numpy(zero_copy_only=False).tolist()
+            sounds = flat.field("sound").to_numpy(zero_copy_only=False)
             crc, n, root, sound = [], [], [], []
-            for parts in batch.column(1).to_pylist():
-                crc.append(crc_of_concatenation([(p["crc"], 4 * p["n"]) for p in parts]))
-                n.append(sum(p["n"] for p in parts))
-                root.append(merkle([p["name"] for p in parts]))
-                sound.append(all(p["sound"] for p in parts))
+            for i, j in zip(at, at[1:], strict=False):
+                crc.append(crc_of_concatenation([(c, 4 * k) for c, k in zip(crcs[i:j], ns[i:j], strict=True)]))
+                n.append(sum(ns[i:j]))
+                root.append(merkle(names[i:j]))
+                sound.append(bool(sounds[i:j].all()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(sound, pa.bool_())], ["start", "ids_crc32", "n_read", "root_read", "sound"])
 
     # every stream has its end id, so start tells documents apart
