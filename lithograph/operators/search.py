@@ -128,17 +128,24 @@ def hybrid_rank(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, hops: Dat
     return rows.withColumn("score", total).orderBy(F.desc("score"), "file_path", "start_line")
 
 
-def packed(rows: DataFrame, key: str, order: list[Column], tokens: str, budget: int, most: int, candidates: int = 200) -> DataFrame:
-    """Greedy packing in rank order: rows that overflow the budget are skipped, ``most`` are taken.
+def packed(rows: DataFrame, key: str, order: list[Column], tokens: str, budget: int, most: int, page: int = 200) -> DataFrame:
+    """rank, key: greedy packing in rank order; rows that overflow the budget are skipped, ``most`` are taken.
 
-    The skips depend on what was taken before, so it is a fold over the ranked top ``candidates``.
+    Exact over all rows: a row that was skipped once can never fit later, so each round asks for the
+    first ``page`` rows that still fit (a top-k), packs them, and goes on until nothing fits.
     """
-    top = rows.orderBy(*order).limit(candidates).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    listed = top.groupBy().agg(F.array_sort(F.collect_list(F.struct("_r", F.col(key).alias("key"), F.col(tokens).cast("long").alias("n")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<rank:int,key:string>>").alias("taken"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["taken"]) < most) & (acc["total"] + x["n"] <= budget)
-        return F.when(fits, F.struct((acc["total"] + x["n"]).alias("total"), F.array_append(acc["taken"], F.struct(x["_r"].alias("rank"), x["key"].cast("string").alias("key"))).alias("taken"))).otherwise(acc)
-
-    return listed.select(F.explode(F.aggregate("xs", start, take, lambda a: a["taken"])).alias("x")).select("x.rank", F.col("x.key").alias(key))
+    taken: list = []
+    left = budget
+    while len(taken) < most and left > 0:
+        fits = rows.where(F.col(tokens) <= left)
+        if taken:
+            fits = fits.where(~F.col(key).isin(taken))
+        top = fits.orderBy(*order).limit(page).select(F.col(key).alias("k"), F.col(tokens).alias("n")).collect()
+        if not top:
+            break
+        for r in top:
+            if len(taken) < most and r["n"] <= left:
+                taken.append(r["k"])
+                left -= r["n"]
+    kind = dict(rows.dtypes)[key]
+    return rows.sparkSession.createDataFrame(list(enumerate(taken, 1)), f"rank int, {key} {kind}")
