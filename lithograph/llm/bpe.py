@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lithograph.llm.common import lengths, small_batches, texts
+from lithograph.llm.common import filled, lengths, small_batches, texts
 
 #: Entries of one generation of a worker's memory of pieces of text and their ids.
 WORD_MEMORY = 250_000
@@ -375,7 +375,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in filled(batches):
             at = 0
             for part in runs(texts(batch)):
                 ids = enc.encode(part)
@@ -391,7 +391,7 @@ def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in filled(batches):
             at = 0
             for part in runs(texts(batch)):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode(part)]
@@ -410,7 +410,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in filled(batches):
             n, a, b = [], [], []
             for part in runs(texts(batch)):
                 for ids in enc.encode(part):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm import bpe
-from lithograph.llm.common import small_batches, texts
+from lithograph.llm.common import filled, small_batches, texts
 
 WINDOW = 16
 #: Ids in a chunk: a cut falls on one position in MEAN, never before LEAST or after MOST ids.
@@ -187,7 +187,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
         end = np.uint32(end_id).tobytes()
         sent: set[bytes] = set()
         task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in filled(batches):
             doc_ids, at = batch.column(0).to_pylist(), 0
             for part in bpe.runs(texts(batch)):
                 rows: list[tuple] = []
@@ -239,7 +239,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     whole = links.join(chunks, "name").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("parts"))
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             ids = [b"".join(unpack(p["body"]) for p in parts) for parts in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -254,7 +254,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
 
     def sums(batches):
-        for batch in batches:
+        for batch in filled(batches):
             name, body = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             raw = [unpack(b) for b in body]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([hashlib.sha256(r).digest() == n for r, n in zip(raw, name, strict=True)], pa.bool_())], ["name", "n", "crc", "sound"])
@@ -273,7 +273,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     found = links.join(chunks, "name").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "sound", "name"))).alias("parts"))
 
     def fold(batches):
-        for batch in batches:
+        for batch in filled(batches):
             lists = batch.column(1)
             flat, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
             names, ns, crcs = flat.field("name").to_pylist(), flat.field("n").to_numpy(zero_copy_only=False).tolist(), flat.field("crc").to_numpy(zero_copy_only=False).tolist()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import small_batches, texts
+from lithograph.llm.common import filled, small_batches, texts
 
 SHINGLE, CONTAINMENT, MISS, PERMUTATIONS, SEED = 5, 0.8, 1e-9, 48, 42
 BLOCK_BYTES = 16 << 20
@@ -159,7 +159,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, model=model):
             index = model.value
-            for batch in batches:
+            for batch in filled(batches):
                 found = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for i, c in matches(index, t)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "containment"])
@@ -179,7 +179,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches, model=model):
             index = model.value
-            for batch in batches:
+            for batch in filled(batches):
                 keep = [not matches(index, t) for t in texts(batch)]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], schema=batch.schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, labelled_sample, lengths, seg_sum, small_batches, text_bytes, word_ids
+from lithograph.llm.common import by_bytes, filled, labelled_sample, lengths, seg_sum, small_batches, text_bytes, word_ids
 
 ROWS, STEPS, RATE, DECAY = 2500, 150, 0.1, 1e-4
 
@@ -201,7 +201,7 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
     model = spark.sparkContext.broadcast(field)
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             rows = text_bytes(batch)
             out = [np.full(hi - lo, 0.5) if model.value is None else document_scores(model.value, rows[lo:hi]) for lo, hi in by_bytes(rows, 1_000_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, lengths, seg_sum, small_batches, text_bytes, word_ids
+from lithograph.llm.common import by_bytes, filled, lengths, seg_sum, small_batches, text_bytes, word_ids
 
 GRAM, BUCKETS, SMOOTHING, THRESHOLD = 4, 1 << 16, 1.0, -0.25
 #: Fixed values of the base rules.
@@ -106,7 +106,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in filled(batches):
             rows = text_bytes(batch)
             for lo, hi in by_bytes(rows):
                 buf, starts, ends = _joined(rows[lo:hi])
@@ -150,7 +150,7 @@ def judge(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             rows, parts = text_bytes(batch), []
             for lo, hi in by_bytes(rows, 1_500_000):
                 c = base_counts(rows[lo:hi])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, removed, shared_dir, small_batches, text_bytes, written
+from lithograph.llm.common import by_bytes, filled, removed, shared_dir, small_batches, text_bytes, written
 
 SHINGLE, SEED, RADIUS, WIDE = 4, 42, 4, 8192
 
@@ -131,7 +131,7 @@ def _compare(rows: DataFrame, keys: list[str], radius: int, wide: int | None) ->
 
         def buckets():
             nonlocal rest
-            for batch in batches:
+            for batch in filled(batches):
                 now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
                 if rest is not None:
                     now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
@@ -235,7 +235,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             rows, out = text_bytes(batch), []
             for lo, hi in by_bytes(rows):
                 out.append(fingerprints(rows[lo:hi]))

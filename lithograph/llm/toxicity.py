@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, labelled_sample, lengths, seg_sum, small_batches, text_bytes, word_ids
+from lithograph.llm.common import by_bytes, filled, labelled_sample, lengths, seg_sum, small_batches, text_bytes, word_ids
 
 ROWS, LEXICON, NEAR = 6000, 20_000, 5
 TREES, DEPTH, BINS, SHRINK, LEAST_ROWS = 60, 3, 32, 0.2, 8
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         memory: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in filled(batches):
             rows = text_bytes(batch)
             out = [shared.value.scores(rows[lo:hi], memory) for lo, hi in by_bytes(rows, 1_500_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out), pa.float64())], ["doc_id", "score"])
