@@ -29,7 +29,7 @@ def _(m):
     return R.bm25(R.postings(chunks(m), "id", "content"), QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
-@query("win_01_rank_position_scores", "WITH x AS (SELECT 1)" + BM25 + " SELECT id, position, round(greatest(0.1, 1 - 0.04 * (position - 1)), 4) AS score FROM (SELECT CAST(doc_id AS STRING) AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, CAST(doc_id AS STRING)) AS position FROM s) WHERE position <= 20")
+@query("win_01_rank_position_scores", "WITH x AS (SELECT 1)" + BM25 + " SELECT id, position, CAST(round(greatest(0.1, 1 - 0.04 * (position - 1)), 4) AS DOUBLE) AS score FROM (SELECT CAST(doc_id AS STRING) AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, CAST(doc_id AS STRING)) AS position FROM s) WHERE position <= 20")
 def _(m):
     hits = R.bm25(R.postings(chunks(m), "id", "content"), QUERY).withColumn("bm25", F.round("bm25", 9))
     return R.by_position(hits, [F.desc("bm25"), F.col("id")], 20, 0.04).select("id", "position", F.col("score"))
