@@ -1,6 +1,6 @@
 """Streams: event-time aggregates, and a watcher that turns snapshots into change plans.
 
-The reference behaviour is a polling loop; here the snapshots are a file stream, each micro-batch is
+Instead of a polling loop, the snapshots are a file stream: each micro-batch is
 diffed with the state table of the last one, and the plan goes to ``on_plan``. Writes are idempotent by
 batch id, so a batch that is run again after a failure leaves the same state.
 """
