@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithograph.llm.common import by_bytes, small_batches, text_bytes
+from lithograph.llm.common import by_bytes, filled, small_batches, text_bytes
 
 WINDOW, HIDDEN = 128, 8
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 600, 2
@@ -210,9 +210,13 @@ def document_probabilities(net: Network, rows: list[bytes], lanes: int = 2048) -
 
 def sample(docs: DataFrame, training: Column) -> list[tuple[bytes, str]]:
     """Training windows: at most ROWS_PER_LANGUAGE documents of each language, by a hash of doc_id."""
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = docs.select("doc_id", "text", "lang").where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= ROWS_PER_LANGUAGE).select("doc_id", "lang").distinct()
+    chosen = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(32)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # salted first, as one language may hold most rows
+        pick = Window.partitionBy(*keys).orderBy(*order)
+        chosen = chosen.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    chosen = chosen.select("doc_id", "lang").distinct()
     size = 4 * TRAIN_WINDOW
     parts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int") + 1, F.lit(size)) for i in range(WINDOWS_PER_ROW)]
     found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.explode(F.array(*parts)).alias("part"))
@@ -227,7 +231,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(batches):
         net = model.value
-        for batch in batches:
+        for batch in filled(batches):
             rows, labels, scores = text_bytes(batch), [], []
             for lo, hi in by_bytes(rows, 2_000_000):
                 part = rows[lo:hi]
@@ -258,7 +262,7 @@ def accepted(docs: DataFrame, net: Network | None) -> DataFrame:
     model = spark.sparkContext.broadcast(net)
 
     def run(batches):
-        for batch in batches:
+        for batch in filled(batches):
             rows, keep = text_bytes(batch), []
             for lo, hi in by_bytes(rows, 2_000_000):
                 some = [model.value is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in rows[lo:hi]]
