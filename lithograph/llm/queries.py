@@ -33,7 +33,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    # by sort and merge at every size: labels grow with the corpus, so they are never broadcast
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").hint("merge")
     return quality_rules.rules(docs, docs.join(good, "doc_id", "left_semi"))
 
 
