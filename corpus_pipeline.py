@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates: the smallest id, rows without an id last."""
     return simhash.one_of_each(docs)
 
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.llm.common import by_bytes, filled, removed, shared_dir, small_batches, text_bytes, written
@@ -230,8 +230,8 @@ def classes(pairs: DataFrame, folder: str) -> DataFrame:
         now, mark = new, sums
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint of each document as a signed long."""
+def with_fingerprint(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp: the fingerprint of each document as a signed long; columns ``more`` come along."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -239,9 +239,16 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             rows, out = text_bytes(batch), []
             for lo, hi in by_bytes(rows):
                 out.append(fingerprints(rows[lo:hi]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out).view(np.int64), pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select("doc_id", "text", *more)
+    return chosen.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {chosen.schema[c].dataType.simpleString()}" for c in more]]))
+
+
+def _rooted(distinct: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``distinct`` (fp, distinct, and other columns) with root, the class of the fingerprint."""
+    roots = classes(links(distinct, folder), folder)
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -251,18 +258,35 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     prints = written(with_fingerprint(docs), f"{folder}/prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = written(distinct, f"{folder}/distinct")
-    roots = classes(links(distinct, folder), folder)
     # a class's id: the smallest doc_id of its fingerprints
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(distinct, folder)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _place(docs: DataFrame) -> Column:
+    """Where a row stands in its class: by doc_id (nulls last), the text's digest, then a hash of the other columns.
+
+    No field is null, so places compare and join by value; rows of one place are equal in all columns.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(*[x for c in [F.col("text").isNull(), *others] for x in (c, c.isNull())])
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), digest.alias("digest"), rest.alias("rest"))
+
+
 def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its class's id: one document of each class, all columns.
+    """One row of each class of near duplicates, all columns: the one with the smallest ``_place``.
 
-    Rows that repeat a doc_id (or have none) count as one document, of which one row stays.
+    Only rows of one class replace each other: rows without a doc_id, and rows that share one, stay
+    for each class of their own. The smallest place of a class is an aggregation that combines before
+    the shuffle, so a class of many copies is not one task's; texts are shuffled once, by place.
     """
-    kept = near_duplicates(docs, folder).select(F.col("component_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    folder = folder or shared_dir(spark)
+    placed = docs.withColumn("_near_place", _place(docs))
+    distinct = with_fingerprint(placed, "_near_place").groupBy("fp").agg(F.min("_near_place").alias("first"))
+    named = _rooted(written(distinct, f"{folder}/distinct"), folder)
+    kept = named.groupBy("root").agg(F.min("first").alias("_near_place")).select("_near_place")
+    return placed.join(kept, "_near_place", "left_semi").dropDuplicates(["_near_place"]).select(*[f"`{c}`" for c in docs.columns])

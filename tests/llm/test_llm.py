@@ -153,6 +153,16 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_class(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    data = [(None, words(1), "a"), (None, words(2), "a"), (None, words(2), "a"), (7, words(3), "a"), (7, words(4), "a"), (3, words(4), "a"), (None, words(3), "a"), (9, words(5), "b"), (9, words(5), "a"), (9, words(5), None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, fp string")
+    kept = sorted([tuple(r) for r in simhash.one_of_each(df).collect()], key=repr)
+    # of ids 7 and 3 the copy of words(4) that stays is 3's; both texts without a twin that has an id stay
+    assert sorted([r[:2] for r in kept], key=repr) == sorted([(None, words(1)), (None, words(2)), (7, words(3)), (3, words(4)), (9, words(5))], key=repr)
+    assert kept == sorted([tuple(r) for r in simhash.one_of_each(df.repartition(3, "fp")).collect()], key=repr)
+
+
 def test_decontamination(spark, sf):
     con = connection(sf)
     got = queries.op1_decontaminate(spark, sf)
