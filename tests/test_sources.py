@@ -1,5 +1,6 @@
 """Scanning, parsing, building and watching small repositories."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,15 @@ def test_build(spark, repo):
     assert len(helper) == 1 and helper[0]["content"] == "def helper():\n    return 1\n"
 
 
+def test_chunk_of_a_long_symbol(spark):
+    text = "import os\n\n\ndef long():\n" + "".join(f"    part_{i}()\n" for i in range(300))
+    files = spark.createDataFrame([("long.py", "python", text)], "path string, language string, content string")
+    got = {r["start_line"]: r for r in B.chunks("main", files, B.nodes("main", files, parsed(files))).collect()}
+    want = text[text.index("def") :]
+    assert (got[4]["end_line"], got[4]["content"], got[4]["token_count"]) == (304, want, 302)
+    assert got[4]["content_hash"] == hashlib.sha256(want.encode()).hexdigest() and got[1]["content"] == text + "\n"
+
+
 def test_python_parser():
     text = 'import os\nfrom pathlib import Path\n\n\nclass A(B):\n    """Doc."""\n\n    def go(self):\n        return os.getcwd()\n\n\n@app.get("/x")\ndef top():\n    return A()\n'
     rows = {r["id"]: r for r in parse_python("app.py", text)}
