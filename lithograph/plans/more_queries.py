@@ -19,16 +19,14 @@ def _(m):
     return home.groupBy("community").agg(F.count("*").alias("members"))
 
 
-@query(
-    "jn_11_best_symbol_for_range",
-    """, r AS (SELECT p_partkey AS ref, 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey % 20 AS STRING) || '.py' AS file_path, CAST(p_partkey % 890 + 2 AS INT) AS s, CAST(p_partkey % 890 + 8 AS INT) AS e FROM part WHERE p_partkey % 10 = 3),
+BEST_SYMBOL_FOR_RANGE = """, r AS (SELECT p_partkey AS ref, 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey % 20 AS STRING) || '.py' AS file_path, CAST(p_partkey % 890 + 2 AS INT) AS s, CAST(p_partkey % 890 + 8 AS INT) AS e FROM part WHERE p_partkey % 10 = 3),
 x AS (SELECT ref, n.id, end_line - start_line AS span, start_line <= s AND e <= end_line AS holds, least(e, end_line) - greatest(s, start_line) + 1 AS shared, e - s + 1 AS own, end_line - start_line + 1 AS size FROM r JOIN g_nodes n ON n.file_path = r.file_path AND n.type = 'function' AND start_line <= e AND s <= end_line)
-SELECT ref, id, holds FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY holds DESC, CASE WHEN holds THEN span ELSE -shared END, id) AS rn FROM x WHERE holds OR (size <= 80 AND shared >= 3 AND (shared * 2 >= own OR shared * 4 >= size * 3))) WHERE rn = 1""",
-    "g_nodes",
-)
-def _(m):
+SELECT ref, id, holds FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY holds DESC, CASE WHEN holds THEN span ELSE -shared END, id) AS rn FROM x WHERE holds OR (size <= 80 AND shared >= 3 AND (shared * 2 >= own OR shared * 4 >= size * 3))) WHERE rn = 1"""
+
+
+def best_symbol_for_range(m, rows):
     path = F.concat(F.lit("lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/part_"), (F.col("p_partkey") % 20).cast("string"), F.lit(".py"))
-    refs = m.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("ref"), path.alias("file_path"), (F.col("p_partkey") % 890 + 2).cast("int").alias("s"), (F.col("p_partkey") % 890 + 8).cast("int").alias("e"))
+    refs = rows.select(F.col("p_partkey").alias("ref"), path.alias("file_path"), (F.col("p_partkey") % 890 + 2).cast("int").alias("s"), (F.col("p_partkey") % 890 + 8).cast("int").alias("e"))
     near = refs.join(m.nodes.where("type = 'function'").select("id", "file_path", "start_line", "end_line"), "file_path").where("start_line <= e and s <= end_line")
     near = near.withColumns({"holds": F.expr("start_line <= s and e <= end_line"), "shared": F.expr("least(e, end_line) - greatest(s, start_line) + 1"), "own": F.expr("e - s + 1"), "size": F.expr("end_line - start_line + 1")})
     near = near.where("holds or (size <= 80 and shared >= 3 and (shared * 2 >= own or shared * 4 >= size * 3))")
@@ -37,25 +35,41 @@ def _(m):
     return best.select("ref", "x.id", "x.holds")
 
 
-@query(
-    "jn_12_cited_ranges",
-    ", c AS (SELECT id, file_path, start_line, end_line FROM g_nodes WHERE type = 'method'), q AS (SELECT o_orderkey AS cite, 'app/' || lower(o_orderstatus) || '/orders_' || CAST(o_orderkey % 60 AS STRING) || '.go' AS file_path, CAST(o_orderkey % 700 + 3 AS INT) AS s, CAST(o_orderkey % 700 + 9 AS INT) AS e FROM orders WHERE o_orderkey % 50 = 1) SELECT cite, count(*) AS chunks, min(c.id) AS first FROM q JOIN c ON c.file_path = q.file_path AND c.start_line <= q.s AND q.e <= c.end_line GROUP BY cite",
-    "g_nodes",
-)
+@query("jn_11_best_symbol_for_range", BEST_SYMBOL_FOR_RANGE, "g_nodes")
 def _(m):
+    return best_symbol_for_range(m, m.part.where("p_partkey % 10 = 3"))
+
+
+@query("jn_11_best_symbol_for_range_all", BEST_SYMBOL_FOR_RANGE.replace(" WHERE p_partkey % 10 = 3", ""), "g_nodes")
+def _(m):
+    return best_symbol_for_range(m, m.part)
+
+
+CITED_RANGES = ", c AS (SELECT id, file_path, start_line, end_line FROM g_nodes WHERE type = 'method'), q AS (SELECT o_orderkey AS cite, 'app/' || lower(o_orderstatus) || '/orders_' || CAST(o_orderkey % 60 AS STRING) || '.go' AS file_path, CAST(o_orderkey % 700 + 3 AS INT) AS s, CAST(o_orderkey % 700 + 9 AS INT) AS e FROM orders WHERE o_orderkey % 50 = 1) SELECT cite, count(*) AS chunks, min(c.id) AS first FROM q JOIN c ON c.file_path = q.file_path AND c.start_line <= q.s AND q.e <= c.end_line GROUP BY cite"
+
+
+def cited_ranges(m, rows):
     k = F.col("o_orderkey")
-    cites = m.orders.where("o_orderkey % 50 = 1").select(k.alias("cite"), F.concat(F.lit("app/"), F.lower("o_orderstatus"), F.lit("/orders_"), (k % 60).cast("string"), F.lit(".go")).alias("file_path"), (k % 700 + 3).cast("int").alias("s"), (k % 700 + 9).cast("int").alias("e"))
+    cites = rows.select(k.alias("cite"), F.concat(F.lit("app/"), F.lower("o_orderstatus"), F.lit("/orders_"), (k % 60).cast("string"), F.lit(".go")).alias("file_path"), (k % 700 + 3).cast("int").alias("s"), (k % 700 + 9).cast("int").alias("e"))
     inside = cites.join(m.nodes.where("type = 'method'").select("id", "file_path", "start_line", "end_line"), "file_path").where("start_line <= s and e <= end_line")
     return inside.groupBy("cite").agg(F.count("*").alias("chunks"), F.min("id").alias("first"))
 
 
-@query(
-    "jn_15_node_or_file",
-    ", f AS (SELECT file_path, min(id) AS file_id FROM g_nodes WHERE type = 'file' GROUP BY 1) SELECT l_orderkey, l_linenumber, coalesce(n.id, f.file_id) AS node_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0) l LEFT JOIN g_nodes n ON n.id = 'x:' || CAST(l_orderkey AS STRING) LEFT JOIN g_nodes s ON s.id = 's:' || CAST(l_suppkey AS STRING) LEFT JOIN f ON f.file_path = s.file_path",
-    "g_nodes",
-)
+@query("jn_12_cited_ranges", CITED_RANGES, "g_nodes")
 def _(m):
-    rows = m.lineitem.where("l_linenumber = 1 and l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+    return cited_ranges(m, m.orders.where("o_orderkey % 50 = 1"))
+
+
+@query("jn_12_cited_ranges_all", CITED_RANGES.replace(" WHERE o_orderkey % 50 = 1", ""), "g_nodes")
+def _(m):
+    return cited_ranges(m, m.orders)
+
+
+NODE_OR_FILE = ", f AS (SELECT file_path, min(id) AS file_id FROM g_nodes WHERE type = 'file' GROUP BY 1) SELECT l_orderkey, l_linenumber, coalesce(n.id, f.file_id) AS node_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0) l LEFT JOIN g_nodes n ON n.id = 'x:' || CAST(l_orderkey AS STRING) LEFT JOIN g_nodes s ON s.id = 's:' || CAST(l_suppkey AS STRING) LEFT JOIN f ON f.file_path = s.file_path"
+
+
+def node_or_file(m, rows):
+    rows = rows.select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
     rows = rows.select("l_orderkey", "l_linenumber", F.concat(F.lit("x:"), F.col("l_orderkey").cast("string")).alias("own"), F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("sid"))
     files = m.nodes.where("type = 'file'").groupBy("file_path").agg(F.min("id").alias("file_id"))
     paths = m.nodes.select(F.col("id").alias("sid"), "file_path")
@@ -63,15 +77,36 @@ def _(m):
     return out.select("l_orderkey", "l_linenumber", F.coalesce("hit", "file_id").alias("node_id"))
 
 
-@query(
-    "jn_09_substring_match",
-    "SELECT b.item_id AS term_id, count(*) AS nodes FROM (SELECT item_id, 'brand_' || CAST(item_id % 25 + 1 AS STRING) AS term FROM benchmark WHERE item_id < 12) b JOIN g_nodes n ON contains(n.file_path, b.term) GROUP BY b.item_id",
-    "g_nodes",
-)
+@query("jn_15_node_or_file", NODE_OR_FILE, "g_nodes")
+def _(m):
+    return node_or_file(m, m.lineitem.where("l_linenumber = 1 and l_orderkey % 20 = 0"))
+
+
+@query("jn_15_node_or_file_all", NODE_OR_FILE.replace(" WHERE l_linenumber = 1 AND l_orderkey % 20 = 0", ""), "g_nodes")
+def _(m):
+    return node_or_file(m, m.lineitem)
+
+
+SUBSTRING_MATCH = "SELECT b.item_id AS term_id, count(*) AS nodes FROM (SELECT item_id, 'brand_' || CAST(item_id % 25 + 1 AS STRING) AS term FROM benchmark WHERE item_id < 12) b JOIN g_nodes n ON contains(n.file_path, b.term) GROUP BY b.item_id"
+
+
+def substring_match(m, items):
+    """Distinct paths against blocks of distinct terms: a pair is a row only where it matches."""
+    named = items.select(F.col("item_id").alias("term_id"), F.concat(F.lit("brand_"), (F.col("item_id") % 25 + 1).cast("string")).alias("term"))
+    blocks = named.select("term").distinct().groupBy(F.pmod(F.xxhash64("term"), F.lit(64)).alias("block")).agg(F.collect_list("term").alias("terms"))
+    paths = m.nodes.groupBy("file_path").agg(F.count("*").alias("n"))
+    hits = paths.crossJoin(blocks).select("n", F.explode(F.filter("terms", lambda t: F.contains("file_path", t))).alias("term"))
+    return named.join(hits.groupBy("term").agg(F.sum("n").alias("nodes")), "term").groupBy("term_id").agg(F.sum("nodes").alias("nodes"))
+
+
+@query("jn_09_substring_match", SUBSTRING_MATCH, "g_nodes")
 def _(m):
-    terms = m.benchmark.where("item_id < 12").select(F.col("item_id").alias("term_id"), F.concat(F.lit("brand_"), (F.col("item_id") % 25 + 1).cast("string")).alias("term"))
-    # a dozen terms: the nested loop is over a broadcast of stated size
-    return m.nodes.join(F.broadcast(terms), F.contains("file_path", F.col("term"))).groupBy("term_id").agg(F.count("*").alias("nodes"))
+    return substring_match(m, m.benchmark.where("item_id < 12"))
+
+
+@query("jn_09_substring_match_all", SUBSTRING_MATCH.replace(" WHERE item_id < 12", ""), "g_nodes")
+def _(m):
+    return substring_match(m, m.benchmark)
 
 
 @query(
@@ -142,6 +177,17 @@ def _(m):
     return rows.groupBy("source").agg(F.min("doc_id").alias("first"), F.array_join(F.slice(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), 1, 20), ",").alias("refs"))
 
 
+@query("agg_27_grouped_refs_all", "SELECT source, doc_id AS ref, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
+def _(m):
+    # dealt by ranges, so that a source of many refs is many tasks': a place is that in its range plus the refs before
+    dealt = m.documents.select("source", F.col("doc_id").alias("ref")).repartitionByRange("source", "ref")
+    rows = G.cut(dealt.withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy(F.col("source").alias("own"), F.col("part").alias("at")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("own").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.withColumn("inside", F.row_number().over(Window.partitionBy("source", "part").orderBy("ref")))
+    return placed.join(before, F.col("source").eqNullSafe(F.col("own")) & (F.col("part") == F.col("at"))).select("source", "ref", (F.col("before") + F.col("inside")).alias("place"))
+
+
 @query("agg_29_graph_refs", ", x AS (SELECT id FROM g_edges WHERE type = 'contains' UNION SELECT source_id FROM g_edges WHERE type = 'contains' UNION SELECT target_id FROM g_edges WHERE type = 'contains') SELECT count(*) AS refs FROM x", "g_edges")
 def _(m):
     e = m.edges.where("type = 'contains'")
