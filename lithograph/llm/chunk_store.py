@@ -213,7 +213,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
     rows.write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     recipes = _objects(spark, path, "recipe").select("doc_id", F.col("n").alias("n_tokens"), F.substring("name", 1, 32).alias("root"), "chunks")
     recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/recipes")
-    parts = _recipes(spark, path).groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.hex("root"))), ""), 256).alias("root"))
+    parts = _manifest(_recipes(spark, path))
     parts.write.mode("overwrite").parquet(f"{path}/manifest")
 
 
@@ -225,6 +225,59 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, n_tokens long, root binary, chunks array<binary>, part int").parquet(f"{path}/recipes")
 
 
+def leaf(doc_id: int | None, root: bytes) -> bytes:
+    """A document's leaf in its part's tree."""
+    return hashlib.sha256(b"\0" + (b"" if doc_id is None else doc_id.to_bytes(8, "big", signed=True)) + root).digest()
+
+
+class Tree:
+    """``merkle`` of leaves that come one by one: holds one root for each bit of their number."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, bytes]] = []
+
+    def add(self, node: bytes) -> None:
+        height = 0
+        while self.stack and self.stack[-1][0] == height:
+            node, height = hashlib.sha256(b"\1" + self.stack.pop()[1] + node).digest(), height + 1
+        self.stack.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.stack:
+            return merkle([])
+        out = self.stack[-1][1]
+        for _, left in reversed(self.stack[:-1]):
+            out = hashlib.sha256(b"\1" + left + out).digest()
+        return out
+
+
+MANIFEST = pa.schema([("part", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("documents", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row for each part: its documents in order of doc_id and root, as counts and a Merkle root over their leaves."""
+    small_batches(recipes.sparkSession)
+
+    def run(batches):
+        part, tree, row = None, Tree(), []
+        for batch in filled(batches):
+            done = []
+            for p, doc_id, root, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if p != part:
+                    if row:
+                        done.append((*row, tree.root()))
+                    part, tree, row = p, Tree(), [p, None, None, 0, 0]
+                tree.add(leaf(doc_id, root))
+                row = [p, doc_id if row[1] is None else row[1], row[2] if doc_id is None else doc_id, row[3] + 1, row[4] + n]
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, r, strict=True)) for r in done], MANIFEST)
+        if row:
+            yield pa.RecordBatch.from_pylist([dict(zip(MANIFEST.names, (*row, tree.root()), strict=True))], MANIFEST)
+
+    ordered = recipes.select("part", "doc_id", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "doc_id", "root")
+    return ordered.mapInArrow(run, "part int, first_doc long, last_doc long, documents long, n_tokens long, root binary")
+
+
 def _links(recipes: DataFrame) -> DataFrame:
     """A row for each chunk of each document; ``key`` tells rows of one doc_id apart."""
     return recipes.select("doc_id", "root", "n_tokens", F.posexplode("chunks").alias("pos", "name"))
@@ -249,6 +302,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """Reads the store back: doc_id, start, n_tokens, ids_crc32, whole (digests, lengths and root agree).
 
+    The manifest is made again from the recipes; where it differs, a recipe is lost, repeated or changed,
+    so starts can't be trusted and no row is whole.
+
     ``start`` is the number of ids of all documents before this one in the order of the recipes.
     """
     small_batches(spark)
@@ -261,7 +317,10 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     chunks = _objects(spark, path, "chunk").select("name", "body").mapInArrow(sums, "name binary, n long, crc long, sound boolean")
     recipes = _recipes(spark, path)
-    totals = sorted((r["part"], r["n"]) for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each file
+    found_parts = sorted(map(tuple, _manifest(recipes).collect()))  # a row for each file
+    stated = sorted(map(tuple, spark.read.schema("part int, first_doc long, last_doc long, documents long, n_tokens long, root binary").parquet(f"{path}/manifest").collect()))
+    intact = found_parts == stated
+    totals = [(p[0], p[4]) for p in found_parts]
     offsets, run = [], 0
     for part, n in totals:
         offsets.append((part, run))
@@ -289,5 +348,5 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     # every stream has its end id, so start tells documents apart
     read = found.mapInArrow(fold, "start long, ids_crc32 long, n_read long, root_read binary, sound boolean")
     both = numbered.select("doc_id", "start", "n_tokens", "root").join(read, "start", "left")
-    whole = F.coalesce(F.col("sound") & (F.col("n_read") == F.col("n_tokens")) & (F.col("root_read") == F.col("root")), F.lit(False))
+    whole = F.coalesce(F.col("sound") & (F.col("n_read") == F.col("n_tokens")) & (F.col("root_read") == F.col("root")), F.lit(False)) & F.lit(intact)
     return both.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32", whole.alias("whole"))
