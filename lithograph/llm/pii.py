@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions alone (operator 7).
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns. On
-top, tokens that might be credentials are candidates: maximal runs of key characters with a digit,
-outside base spans. Labelers vote on each candidate (1 private, -1 not, 0 no vote): patterns of the
+top, tokens that might be credentials are candidates: maximal runs of key characters that have a digit
+or follow a key word, outside base spans. Labelers vote on each candidate (1 private, -1 not, 0 no vote): patterns of the
 token, a gazetteer of key words before it, and its context. Expectation-maximisation over the counts
 of vote patterns estimates how reliable each labeler is, without any labels; the resulting
 probabilities train a logistic span classifier on features of the span, and the classifier decides.
@@ -35,10 +35,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Runs of key characters with a digit among the first 64.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{8,}+"
 #: Words that announce a credential: fixed values.
 GAZETTEER = "password|passwd|passphrase|pwd|passwort|kennwort|contraseña|clave|mot de passe|token|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|auth"
+#: A word of the gazetteer, with what a variable's name may add to it, and what separates it from a value.
+NAMED = rf"(?:{GAZETTEER})(?:[_-][\w-]{{0,16}}|[0-9]{{1,4}})?\W{{0,6}}"
+#: Runs of key characters that have a digit anywhere, or follow a word of the gazetteer.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{8}})(?:(?=[A-Za-z+/_-]*+[0-9])|(?<=(?=[abckmpstABCKMPST])(?i:{NAMED.replace('ñ', '[ñÑ]')})))[A-Za-z0-9+/_-]++"
 CONTEXT = 32
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
@@ -48,13 +50,16 @@ def _matches(text: Column, pattern: str, context: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>").alias("out"))
+    last = lambda c: F.right(c, F.lit(context)) if context else F.lit("")
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["p"])
         end = begin + F.length(x["m"])
-        row = F.struct(begin.alias("start"), end.alias("stop"), x["m"].alias("text"), (F.right(x["p"], F.lit(context)) if context else F.lit("")).alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
+        row = F.struct(begin.alias("start"), end.alias("stop"), x["m"].alias("text"), last(F.concat(acc["tail"], last(x["p"]))).alias("before"))
+        # the end of the text so far, so the context of a match runs over the matches before it
+        tail = last(F.concat(acc["tail"], last(x["p"]), last(x["m"])))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.array_append(acc["out"], row).alias("out"))
 
     return F.aggregate(zipped, start, add, lambda acc: acc["out"])
 
@@ -92,8 +97,8 @@ def votes(x: Column) -> dict[str, Column]:
     t, before = x["text"], F.lower(x["before"])
     return {
         "pattern_hex": _vote(t.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$"), t.rlike("^[0-9]+$")),
-        "pattern_mixed": _vote(t.rlike("[0-9].*[A-Za-z].*[0-9]") & (F.length(t) >= 12), t.rlike("^[0-9][0-9/_-]*$|^[A-Za-z]+[0-9]{1,4}$")),
-        "gazetteer": _vote(before.rlike(rf"(?:{GAZETTEER})\W{{0,6}}$"), ~before.rlike(rf"(?:{GAZETTEER})")),
+        "pattern_mixed": _vote(t.rlike("[0-9].*[A-Za-z].*[0-9]") & (F.length(t) >= 12), t.rlike("^[0-9][0-9/_-]*$|^[A-Za-z]+[0-9]{1,4}$|^[^0-9]+$")),
+        "gazetteer": _vote(before.rlike(f"{NAMED}$"), ~before.rlike(rf"(?:{GAZETTEER})")),
         "context_assigned": _vote(before.rlike("[=:]\\s{0,2}[\"']?$"), before.rlike("[a-zà-ÿ.,;!?)]\\s+$")),
         "context_quoted": _vote(before.rlike("[\"'`]$")),
     }
@@ -110,19 +115,25 @@ def span_features(x: Column) -> dict[str, Column]:
         "hex": t.rlike("^[0-9a-fA-F]+$"),
         "many_digits": digits * 4 >= F.length(t),
         "all_digits": digits == F.length(t),
+        "no_digits": digits == 0,
         "assigned": before.rlike("[=:]\\s{0,2}[\"']?$"),
-        "named": before.rlike(rf"(?:{GAZETTEER})\W{{0,6}}$"),
+        "named": before.rlike(f"{NAMED}$"),
         "after_space": before.rlike("\\s$"),
     }
 
 
+def _promising(text: Column) -> Column:
+    """Whether a text may have candidates: it has a digit or a word of the gazetteer."""
+    return text.rlike("[0-9]") | text.rlike(f"(?iu:{GAZETTEER})")
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows with columns text (null: empty), digits, base (sorted spans) and candidates."""
     out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digits", F.col("text").rlike("[0-9]"))
     out = out.withColumns({f"base_{k}": _base(k) for k in PATTERNS})
     out = out.withColumn("base", F.array_sort(F.concat(*[F.col(f"base_{k}") for k in PATTERNS])))
     found = F.filter(_matches(F.col("text"), CANDIDATE, CONTEXT), lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return out.withColumn("candidates", F.when(F.col("digits"), found).otherwise(F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>")))
+    return out.withColumn("candidates", F.when(_promising(F.col("text")), found).otherwise(F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>")))
 
 
 def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]]]:
@@ -198,7 +209,7 @@ def find(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     keep = {c: f"_own_{i}" for i, c in enumerate(names)}  # the work columns can't clash with the table's
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in keep.items()], "text")
     work = with_spans(renamed)
-    weights = train(with_spans(docs.select("text").where(F.col("text").rlike("[0-9]"))).select(F.explode("candidates").alias("x")))
+    weights = train(with_spans(docs.select("text").where(_promising(F.col("text")))).select(F.explode("candidates").alias("x")))
     added = F.array().cast(SPAN)
     if weights is not None:
         chosen = F.filter("candidates", lambda c: _probability(c, weights) >= threshold)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lithograph.llm import bpe, chunk_store, decontaminate, language_id, pii, quality_crf, quality_rules, queries, simhash, toxicity, url_filter
 from lithograph.llm.common import id_crc, shared_dir
@@ -344,6 +345,21 @@ def test_pii_redaction(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_pii_candidates_and_their_context(spark):
+    late = "Q" * 70 + "9zK"
+    texts = ["password=correcthorsebatterystaple", "api_key_v2=sk9f8d7s6a5", f"secret: {late}", "plain words without anything", "Contraseña: unaclavelarga"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(c["text"], c["before"]) for c in r["candidates"]] for r in pii.with_spans(df).collect()}
+    assert got == {0: [("correcthorsebatterystaple", "password=")], 1: [("api_key_v2", ""), ("sk9f8d7s6a5", "api_key_v2=")], 2: [(late, "secret: ")], 3: [], 4: [("unaclavelarga", "Contraseña: ")]}
+    named = pii.with_spans(df).select(F.explode("candidates").alias("x")).select("x.text", pii.votes(F.col("x"))["gazetteer"].alias("v"), pii.span_features(F.col("x"))["named"].alias("n"))
+    assert {(r["v"], r["n"]) for r in named.collect() if r["text"] != "api_key_v2"} == {(1, True)}
+    more = [t for t in PII_TEXTS if t] + ["the year 2024abcd and route66b, model x100-200 of 12345678 units"] * 5 + ["a token distribution is what we plot"]
+    both = spark.createDataFrame(list(enumerate([*texts, *more])), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(both).collect()}
+    assert [clean[0], clean[2], clean[3]] == ["password=[SECRET]", "secret: [SECRET]", texts[3]]
+    assert clean[1].endswith("=[SECRET]") and clean[len(texts) + len(more) - 1] == more[-1]
+
+
 def test_reliabilities_favour_labelers_that_agree():
     share, tables = pii.reliabilities([((1, 1, 1), 40), ((-1, -1, 0), 50), ((1, 1, -1), 5), ((-1, -1, 1), 5)])
     assert 0.3 < share < 0.6 and tables[0][0][1] > 0.9 > tables[2][0][1] > 0.5
