@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longer texts are not taken into training samples, which are held on the driver; all texts are scored.
-SAMPLE_CHARS = 200_000
+#: What a training sample, which is held on the driver, takes at most: bytes of one text, and of all. All texts are scored.
+SAMPLE_TEXT, SAMPLE_BYTES = 200_000, 48_000_000
 #: Rows of a record batch that a Python worker gets at once.
 ARROW_ROWS = 400
 
@@ -41,10 +41,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """A fresh folder below spark.checkpoint.dir; only a local master, which has one machine, may leave it unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lithograph-checkpoint-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lithograph-{uuid.uuid4().hex}"
@@ -63,8 +65,8 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def id_crc(column: str = "doc_id"):
-    """crc32 of an id as text, as a long column."""
-    return F.crc32(F.col(column).cast("string").cast("binary"))
+    """crc32 of an id as text, as a long column; a null id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
 def filled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +85,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x.decode("utf-8", "replace") for x in text_bytes(batch, name)]
 
 
-def by_bytes(rows: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Cuts a batch into runs of rows of about ``limit`` bytes, so that scratch arrays stay small."""
+def by_bytes(rows: list[bytes], limit: int = 4_000_000, costs: Iterable[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into runs of rows of about ``limit`` bytes (or ``costs``), so that scratch arrays stay small."""
     start = total = 0
-    for i, row in enumerate(rows):
-        total += len(row)
+    for i, cost in enumerate(map(len, rows) if costs is None else costs):
+        total += cost
         if total >= limit:
             yield start, i + 1
             start, total = i + 1, 0
@@ -108,14 +110,28 @@ def lengths(rows: Iterable[bytes]) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> list:
     """At most ``rows`` labelled training rows as a list of (text, label), the same at every run.
 
-    ``keep`` is a column that holds the training rows. Rows are taken in the order of a hash of
-    doc_id, so the sample does not follow the order of the files; repeated label rows count once.
-    The bound is the documented parameter of each classifier.
+    ``keep`` is a column that holds the training rows. Documents are taken in the order of a hash of
+    doc_id, so the sample does not follow the order of the files, while they fit in SAMPLE_BYTES; texts
+    of more than SAMPLE_TEXT bytes are left out. A doc_id counts once: labels by the largest, texts by
+    the smallest hash. The bounds are documented parameters of each classifier.
     """
     marks = labels.where(keep & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    return [(r["text"] or "", int(r["label"])) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT).withColumn("hash", F.xxhash64("text"))
+    # sizes first: what is collected below has a known bound, however often a doc_id repeats
+    sizes = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("hash", F.octet_length("text").alias("size"))).alias("x"))
+    taken, left = [], SAMPLE_BYTES
+    for r in sizes.select("doc_id", "label", "x.hash", "x.size").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # ``rows`` at most
+        if r["size"] <= left:
+            taken.append((r["doc_id"], r["hash"], int(r["label"])))
+            left -= r["size"]
+    if not taken:
+        return []
+    kind = dict(docs.dtypes)["doc_id"]
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, hash long, label int")
+    found = own.join(F.broadcast(wanted), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r["text"], r["label"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def word_ids(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -3,8 +3,8 @@
 Features of a whole text: densities of a lexicon of words and of one of word beginnings, how many hits
 stand within ``NEAR`` words of a second-person word, capitals, loud punctuation, and rates of
 obfuscated words (digits or signs inside a word, drawn-out letters, hits that show only once signs are
-read as letters). Training takes at most ``ROWS`` labelled training documents (the documented bound)
-in three parts by position in a hash order: one learns the lexicons, one the trees, one the
+read as letters). Training takes at most ``ROWS`` labelled training documents (the documented bound,
+within the bytes that ``common.labelled_sample`` states) in three parts by position in a hash order: one learns the lexicons, one the trees, one the
 calibration, so no stage sees how well the one before it knows its own rows.
 
 Prediction is a map without shuffle; lexicons and trees are broadcast and have a fixed bound
