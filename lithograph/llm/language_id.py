@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.llm.common import by_bytes, filled, small_batches, text_bytes
@@ -30,8 +30,9 @@ WINDOW, HIDDEN = 128, 8
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 600, 2
 STEPS, LANES, TRAIN_WINDOW, RATE, SEED = 260, 192, 64, 0.02, 7
 PAD = 256
-#: accepted() also turns away texts whose best language has less than this mean probability.
-REJECT = 0.3
+#: accepted() also turns away texts whose best language has less than this many times the mean probability
+#: of a chance label, 1 / languages: the parameter of the rejection.
+REJECT = 1.2
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -208,19 +209,32 @@ def document_probabilities(net: Network, rows: list[bytes], lanes: int = 2048) -
     return out / np.maximum(places, 1)[:, None]
 
 
-def sample(docs: DataFrame, training: Column) -> list[tuple[bytes, str]]:
-    """Training windows: at most ROWS_PER_LANGUAGE documents of each language, by a hash of doc_id."""
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+def sample(docs: DataFrame, training: Column, most: int = ROWS_PER_LANGUAGE) -> list[tuple[bytes, str]]:
+    """Training windows: at most ``most`` documents of each language, those with the smallest hashes of doc_id.
+
+    Estimates of each language's different ids give a limit of the hash below which some four times as
+    many lie, so only these are told apart and brought to the driver, at every size. A doc_id counts
+    once a language.
+    """
     rows = docs.select("doc_id", "text", "lang").where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(32)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):  # salted first, as one language may hold most rows
-        pick = Window.partitionBy(*keys).orderBy(*order)
-        chosen = chosen.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= ROWS_PER_LANGUAGE)
-    chosen = chosen.select("doc_id", "lang").distinct()
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # one row a language
+    if not counts:
+        return []
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    limits = spark.createDataFrame([(lang, min(1.0, 4 * most / max(n, 1))) for lang, n in sorted(counts.items())], "lang string, share double")
+    place = F.xxhash64("doc_id")
+    low = rows.select("doc_id", "lang").join(F.broadcast(limits), "lang").where(place <= (F.col("share") - 0.5) * F.lit(2.0**64))
+    by: dict[str, list[tuple[int, int]]] = {lang: [] for lang in counts}
+    for r in low.groupBy("lang", "doc_id").agg(F.first(place).alias("place")).collect():
+        by[r["lang"]].append((r["place"], r["doc_id"]))
+    taken = [(doc_id, lang) for lang, ids in sorted(by.items()) for _, doc_id in sorted(ids)[:most]]
+    if not taken:
+        return []
+    chosen = spark.createDataFrame(taken, f"doc_id {kind}, lang string")
     size = 4 * TRAIN_WINDOW
     parts = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int") + 1, F.lit(size)) for i in range(WINDOWS_PER_ROW)]
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.explode(F.array(*parts)).alias("part"))
-    return [(r["part"].encode(), r["lang"]) for r in found.collect()]
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.array(*parts)).alias("parts"))
+    return [(part.encode(), r["lang"]) for r in found.collect() for part in r["parts"]]
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -254,9 +268,9 @@ def identify(docs: DataFrame, training: Column) -> DataFrame:
     return predict(docs, train(sample(docs, training)))
 
 
-def accepted(docs: DataFrame, net: Network | None) -> DataFrame:
+def accepted(docs: DataFrame, net: Network | None, reject: float = REJECT) -> DataFrame:
     """The rows of ``docs`` that have a language; those labelled ``und`` go, and those where no language
-    reaches REJECT. All columns as they came."""
+    reaches ``reject`` times the share of a chance label. All columns as they came."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(net)
@@ -267,7 +281,7 @@ def accepted(docs: DataFrame, net: Network | None) -> DataFrame:
             for lo, hi in by_bytes(rows, 2_000_000):
                 some = [model.value is not None and LETTER.search(x.decode("utf-8", "replace")) is not None for x in rows[lo:hi]]
                 if any(some):
-                    sure = document_probabilities(model.value, rows[lo:hi]).max(1) >= REJECT
+                    sure = document_probabilities(model.value, rows[lo:hi]).max(1) >= min(0.95, reject / len(model.value.languages))
                     some = (sure & np.array(some)).tolist()
                 keep.extend(some)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], schema=batch.schema)
