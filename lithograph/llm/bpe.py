@@ -28,11 +28,26 @@ from pyspark.sql import DataFrame
 
 from lithograph.llm.common import filled, lengths, small_batches, texts
 
-#: Entries of one generation of a worker's memory of pieces of text and their ids.
-WORD_MEMORY = 250_000
+#: Entries of a worker's memory of pieces of text and their ids, beyond which it starts anew (some 80 bytes each).
+WORD_MEMORY = 1_000_000
 NO_PAIR = np.int64(1) << 60
 
 
+#: The pre-tokenizer's pattern, and what a vocabulary file must have as normaliser, pre-tokenizer and model: fixed values.
+PIECES_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SUPPORTED = (["NFC", ["Replace", {"Regex": r"\s+"}, " "], "Lowercase"], [["Split", {"Regex": PIECES_PATTERN}, "Removed", True], ["ByteLevel", False, False]], "BPE")
+
+
+def _steps(section: dict | None) -> list:
+    """The steps of a normaliser or pre-tokenizer, with what decides their results."""
+    if not section:
+        return []
+    if section["type"] == "Sequence":
+        return [x for part in section.get("normalizers") or section.get("pretokenizers") for x in _steps(part)]
+    kept = [section[k] for k in ("pattern", "content", "behavior", "invert", "add_prefix_space", "use_regex") if k in section]
+    return [[section["type"], *kept] if kept else section["type"]]
+
+
 def default_vocabulary() -> str:
     """Path of the public vocabulary file that the queries use."""
     import public_tokenizers
@@ -57,9 +72,13 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if (steps := (_steps(spec.get("normalizer")), _steps(spec.get("pre_tokenizer")), model.get("type"))) != SUPPORTED:
+            raise ValueError(f"{path}: normaliser, pre-tokenizer and model are {steps}; supported are {SUPPORTED}")
         self.id_of: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*self.id_of.values(), *self.special.values()]) + 1
+        if size > 1 << 20:
+            raise ValueError(f"{path}: {size} ids; at most {1 << 20} are packed into a pair's key")
         self.token = [""] * size
         for token, i in [*self.id_of.items(), *self.special.items()]:
             self.token[i] = token
@@ -71,8 +90,8 @@ class Vocabulary:
         keys = np.array([self.id_of[a] << 20 | self.id_of[b] for a, b in pairs], np.int64)
         made = np.array([self.id_of[a + b] for a, b in pairs], np.int64)
         self.made = made
-        # open addressing over a power of two: a pair is found in a few vectorised probes
-        self.bits = 18
+        # open addressing over a power of two, a quarter full: a pair is found in a few vectorised probes
+        self.bits = (4 * len(pairs) + 4).bit_length()
         self.table_key = np.full(1 << self.bits, -1, np.int64)
         self.table_rank = np.full(1 << self.bits, NO_PAIR, np.int64)
         self.rank_of: dict[int, int] = {}
@@ -84,6 +103,11 @@ class Vocabulary:
             while self.table_key[slot] >= 0:
                 slot = (slot + 1) & ((1 << self.bits) - 1)
             self.table_key[slot], self.table_rank[slot] = key, rank
+        # the tokens in UTF-8, each with a space behind it
+        spelled = [f"{t} ".encode("utf-8", "surrogatepass") for t in self.token]
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.letter_count = lengths(spelled)
+        self.letter_start = np.cumsum(self.letter_count) - self.letter_count
 
     def _slot(self, key: int) -> int:
         return ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
@@ -238,8 +262,7 @@ def merge_words(vocabulary: Vocabulary, words: list[bytes]) -> list[bytes]:
     return out
 
 
-#: The pre-tokenizer's pattern: a fixed value of the vocabulary file.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = regex.compile(PIECES_PATTERN)
 #: The same pattern where a text has only ASCII and precomposed Latin letters; letters come first, as the commonest.
 LATIN = r"a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 LATIN_PIECES = re.compile(rf"[{LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r {LATIN}0-9]+")
@@ -252,30 +275,6 @@ def lowered(word: str) -> str:
     return "".join(c.lower() for c in word) if "Σ" in word else word.lower()
 
 
-class Memory(dict):
-    """Two generations of a dictionary: at most 2 * ``size`` entries, what is used often stays.
-
-    Looking up an unknown key gives None and puts the key on the list of ``unknown`` ones.
-    """
-
-    def __init__(self, size: int):
-        self.size, self.old, self.unknown = size, {}, set()
-
-    def __missing__(self, key: str) -> bytes | None:
-        value = self.old.get(key)
-        if value is None:
-            self.unknown.add(key)
-        else:
-            self[key] = value
-        return value
-
-    def age(self) -> None:
-        """Between batches: a full generation becomes the old one."""
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-
-
 def pieces(text: str) -> list[str]:
     """Normalises a text (NFC, white space, lower case) and cuts it as the pre-tokenizer does."""
     if text.isascii() or not BEYOND.search(text):
@@ -283,6 +282,133 @@ def pieces(text: str) -> list[str]:
     return PIECES.findall(lowered(unicodedata.normalize("NFC", text)))
 
 
+#: Kind of each byte of a lower-cased text that LATIN_PIECES covers: white, letter, digit, other.
+WHITE, LETTER, DIGIT, OTHER = range(4)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = WHITE
+KIND[97:123] = KIND[128:] = LETTER
+KIND[48:58] = DIGIT
+#: The first bytes of a word of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def piece_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of LATIN_PIECES begin and end in the bytes of lower-cased text (zeros behind it)."""
+    kind = KIND[buf]
+    new = kind == DIGIT
+    new[:1] = True
+    new[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(new)
+    s, e = at, np.append(at[1:], len(buf))
+    some = kind[at] != WHITE
+    s, e = s[some], e[some]
+    # a quote that stands alone before letters takes a contraction's letters with it
+    quote = np.flatnonzero((e - s == 1) & (buf[s] == 39))
+    if len(quote):
+        one, two = buf[np.minimum(e[quote], len(buf) - 1)], buf[np.minimum(e[quote] + 1, len(buf) - 1)]
+        takes = np.isin(one, list(b"stmd")).astype(np.int64)
+        takes[((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)] = 2
+        quote, takes = quote[takes > 0], takes[takes > 0]
+        e[quote] += takes
+        s[quote + 1] += takes
+        left = s < e
+        s, e = s[left], e[left]
+    return s, e
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices starts[i], starts[i] + 1, .. of counts[i] each, in turn."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy of twice the length, with room for ``n`` values."""
+    if n <= len(a):
+        return a
+    return np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+class Memory:
+    """Pieces of text and their ids in flat arrays; a frequent piece is merged once a worker.
+
+    Pieces of at most 16 bytes are two integers and a length, found by open addressing; longer ones are
+    keys of a dictionary. ``full`` bounds it: a full memory is dropped between batches.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits, self.count, self.in_table, self.used, self.held = 14, 0, 0, 0, 0
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.low, self.high, self.bytes = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.start, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.long: dict[bytes, int] = {}
+
+    def full(self) -> bool:
+        return self.count > self.size or self.held > 64 * self.size
+
+    def _slots(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The entry of each short piece, -1 where there is none."""
+        slot = self._slots(low, high, n)
+        out = self.table[slot].astype(np.int64)
+        some = out >= 0
+        same = some & (self.low[out] == low) & (self.high[out] == high) & (self.bytes[out] == n)
+        todo = np.flatnonzero(some & ~same)
+        out[todo] = -1
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.table) - 1)
+            e = self.table[slot[todo]].astype(np.int64)
+            hit = (e >= 0) & (self.low[e] == low[todo]) & (self.high[e] == high[todo]) & (self.bytes[e] == n[todo])
+            out[todo[hit]] = e[hit]
+            todo = todo[(e >= 0) & ~hit]
+        return out
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._slots(self.low[entries], self.high[entries], self.bytes[entries])
+        while len(entries):
+            free = self.table[slot] < 0
+            _, first = np.unique(slot, return_index=True)
+            winner = np.zeros(len(entries), bool)
+            winner[first] = True
+            winner &= free
+            self.table[slot[winner]] = entries[winner]
+            entries, slot = entries[~winner], (slot[~winner] + 1) & (len(self.table) - 1)
+
+    def add(self, words: list[bytes], ids: list[bytes], low: np.ndarray, high: np.ndarray, n: np.ndarray) -> None:
+        """New entries, numbered on from ``count``; ``ids`` as little-endian integers."""
+        begin, end = self.count, self.count + len(words)
+        counts = lengths(ids) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        for name in ("low", "high", "bytes", "start", "length"):
+            setattr(self, name, _room(getattr(self, name), end))
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.low[begin:end], self.high[begin:end], self.bytes[begin:end] = low, high, n
+        self.length[begin:end] = counts
+        self.start[begin:end] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.held += 4 * len(flat) + int(n[n > 16].sum())
+        self.long.update((w, begin + k) for k, w in enumerate(words) if len(w) > 16)
+        self.count = end
+        short = begin + np.flatnonzero(n <= 16)
+        self.in_table += len(short)
+        if 2 * self.in_table > len(self.table):
+            while 2 * self.in_table > 1 << self.bits:
+                self.bits += 1
+            self.table = np.full(1 << self.bits, -1, np.int32)
+            short = np.flatnonzero(self.bytes[:end] <= 16)
+        self._place(short)
+
+
 class Encoder:
     """Encodes texts; remembers the ids of pieces, so a frequent one is merged once a worker.
 
@@ -293,43 +419,102 @@ class Encoder:
         self.vocabulary = vocabulary
         self.merge = merge or (lambda words: merge_words(vocabulary, words))
         self.memory = Memory(memory)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        # 0xFF is no byte of UTF-8, so a special token's key is no piece of text
+        self.special = {x: b"\xff" + x.encode("utf-8") for x in vocabulary.special}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def _pieces(self, batch: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """The pieces of all texts: bytes, begins, ends, pieces of each text, and their order if it isn't that of the texts."""
+        plain: list[bytes] = []
+        odd: list[list[bytes]] = []
+        is_plain = np.ones(len(batch), bool)
+        for i, text in enumerate(batch):
+            special = any(x in text for x in self.special)
+            if not special and (text.isascii() or not BEYOND.search(text)):
+                plain.append(text.lower().encode())
+                continue
+            is_plain[i] = False
+            parts = self.cut.split(text) if special else [text]
+            odd.append([w for x in parts for w in ([self.special[x]] if x in self.special else (p.encode("utf-8", "surrogatepass") for p in pieces(x)))])
+        data = b"\n".join(plain) + b"\n"
+        size = lengths(plain)
+        first = np.cumsum(size + 1) - size - 1
+        s, e = piece_bounds(np.frombuffer(data, np.uint8))
+        counts = np.zeros(len(batch), np.int64)
+        counts[is_plain] = np.diff(np.append(np.searchsorted(s, first), len(s)))
+        if not odd:
+            return data, s, e, counts, None
+        flat = [w for ws in odd for w in ws]
+        more = len(data) + np.cumsum(lengths(flat))
+        counts[~is_plain] = lengths(odd)
+        begin = np.zeros(len(batch), np.int64)
+        for mask, base in ((is_plain, 0), (~is_plain, len(s))):
+            begin[mask] = base + np.cumsum(counts[mask]) - counts[mask]
+        return data + b"".join(flat), np.concatenate([s, more - lengths(flat)]), np.concatenate([e, more]), counts, spread(begin, counts)
+
+    def _entries(self, data: bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The memory's entry of each piece; new ones are merged first."""
+        memory, n = self.memory, e - s
+        eight = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))  # the eight bytes from each place on
+        low, high = eight[s] & FIRST[np.minimum(n, 8)], eight[np.minimum(s + 8, len(data))] & FIRST[np.clip(n - 8, 0, 8)]
+        out = memory.find(low, high, n)
+        for k in np.flatnonzero(n > 16).tolist():
+            out[k] = memory.long.get(data[s[k] : e[k]], -1)
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            number: dict[bytes, int] = {}
+            at, own = [], []
+            for k, i, j in zip(unknown.tolist(), s[unknown].tolist(), e[unknown].tolist(), strict=True):
+                w = data[i:j]
+                x = number.get(w)
+                if x is None:
+                    x = number[w] = len(at)
+                    at.append(k)
+                own.append(x)
+            words = list(number)
+            plain = [w for w in words if w[0] != 255]
+            merged = iter(self.merge(plain))
+            ids = [next(merged) if w[0] != 255 else np.uint32(self.vocabulary.special[w[1:].decode()]).astype("<u4").tobytes() for w in words]
+            out[unknown] = memory.count + np.array(own)
+            memory.add(words, ids, low[at], high[at], n[at])
+        return out
+
+    def arrays(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's end."""
+        if self.memory.full():
+            self.memory.clear()
+        data, s, e, counts, order = self._pieces(batch)
+        entry = self._entries(data, s, e)
+        if order is not None:
+            entry = entry[order]
+        count = self.memory.length[entry]
+        ids = self.memory.ids[spread(self.memory.start[entry], count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(counts)]
+        return ids, ends
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        special, memory = self.vocabulary.special, self.memory
-        memory.age()
-        parts: list[tuple[list[str], list]] = []
-        for text in batch:
-            if self.cut and "<|" in text:
-                ps, values = [], []
-                for x in self.cut.split(text):
-                    more = [x] if x in special else pieces(x)
-                    ps += more
-                    values += [np.uint32(special[x]).tobytes()] if x in special else map(memory.__getitem__, more)
-            else:
-                ps = pieces(text)
-                values = list(map(memory.__getitem__, ps))
-            parts.append((ps, values))
-        if memory.unknown:
-            new = list(memory.unknown)
-            memory.unknown = set()
-            memory.update(zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
-            for ps, values in parts:
-                try:
-                    at = values.index(None)
-                    while True:
-                        values[at] = memory[ps[at]]
-                        at = values.index(None, at + 1)
-                except ValueError:  # no further gap
-                    pass
-        return [b"".join(values) for _, values in parts]
+        ids, ends = self.arrays(batch)
+        return cut_up(ids.astype("<u4", copy=False).tobytes(), 4 * ends)
+
+
+def cut_up(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    """The parts of ``raw`` between the ends."""
+    ends = ends.tolist()
+    return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def decoded(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """UTF-8 of the decoded text of each run of ids: tokens joined by a space, as a tokenizer without a decoder does."""
+    count = vocabulary.letter_count[ids]
+    raw = vocabulary.letters[spread(vocabulary.letter_start[ids], count)].tobytes()
+    return [x[:-1] for x in cut_up(raw, np.concatenate([[0], np.cumsum(count)])[ends])]
 
 
 def decode(vocabulary: Vocabulary, ids: bytes) -> str:
-    """Tokens of the ids joined by a space, as a tokenizer without a decoder does; nothing is skipped."""
-    token = vocabulary.token
-    return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    """The decoded text of one run of ids; nothing is skipped."""
+    ids = np.frombuffer(ids, "<u4")
+    return decoded(vocabulary, ids, np.array([len(ids)]))[0].decode("utf-8", "surrogatepass")
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -378,8 +563,9 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in filled(batches):
             at = 0
             for part in runs(texts(batch)):
-                ids = enc.encode(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([decode(enc.vocabulary, x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                ids, ends = enc.arrays(part)
+                text = pa.array(decoded(enc.vocabulary, ids, ends), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(cut_up(ids.tobytes(), 4 * ends), pa.binary()), text], ["doc_id", "ids", "decoded"])
                 at += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
@@ -394,8 +580,10 @@ def encode_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in filled(batches):
             at = 0
             for part in runs(texts(batch)):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in enc.encode(part)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+                ids, ends = enc.arrays(part)
+                edges = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.diff(edges), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
                 at += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -413,10 +601,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in filled(batches):
             n, a, b = [], [], []
             for part in runs(texts(batch)):
-                for ids in enc.encode(part):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(decode(enc.vocabulary, ids).encode("utf-8", "surrogatepass")).hexdigest())
+                ids, ends = enc.arrays(part)
+                n += np.diff(ends, prepend=0).tolist()
+                a += [hashlib.sha256(x).hexdigest() for x in cut_up(ids.tobytes(), 4 * ends)]
+                b += [hashlib.sha256(x).hexdigest() for x in decoded(enc.vocabulary, ids, ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
