@@ -36,52 +36,64 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithograph.llm import bpe
-from lithograph.llm.common import filled, small_batches, texts
+from lithograph.llm.common import filled, lengths, small_batches, texts
 
 WINDOW = 16
 #: Ids in a chunk: a cut falls on one position in MEAN, never before LEAST or after MOST ids.
 LEAST, MEAN, MOST = 64, 512, 4096
-#: Entries of one generation of a worker's memory of pieces.
-PIECES = 400_000
 GEAR = (np.arange(1, 1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 GEAR = np.concatenate([GEAR, GEAR[:1]])
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream; they depend on the ids around a cut only."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind the ids where a chunk may end: the rolling hash of the last WINDOW ids has its low bits zero.
+
+    Streams that lie behind one another may be marked at once: a chunk has LEAST ids, more than WINDOW,
+    so no cut depends on ids of the stream before.
+    """
     h = GEAR[ids & 0xFFFF]
     step = 1
     while step < WINDOW:  # h[i] becomes the sum of GEAR[ids[i-j]] << j over the window
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
-    marks = (np.flatnonzero(h >> np.uint32(7) & np.uint32(MEAN - 1) == 0) + 1).tolist()
-    out, start = [], 0
-    for m in [*marks, n]:
+    return np.flatnonzero(h >> np.uint32(7) & np.uint32(MEAN - 1) == 0) + 1
+
+
+def _cut(places: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from ``start`` to ``end``; ``places``: its marks."""
+    out = []
+    for m in [*places, end]:
         while m - start > MOST:
             start += MOST
             out.append(start)
-        if m - start >= LEAST or m == n:
+        if m - start >= LEAST or m == end:
             if m > start:
                 out.append(m)
             start = m
     return out
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """A chunk's body: one byte, the bytes of an id (2 or 4), then the ids' byte planes through zstd."""
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + _packer().compress(planes.tobytes())
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream; they depend on the ids around a cut only."""
+    return _cut(marks(ids).tolist(), 0, len(ids))
+
+
+def planes(ids: np.ndarray) -> np.ndarray:
+    """The four bytes of each id, as four rows: the lowest first."""
+    return np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+
+
+def pack(rows: np.ndarray, wide: bool) -> bytes:
+    """A chunk's body from its planes: one byte, the bytes of an id (2 or 4), then that many planes through zstd."""
+    width = 4 if wide else 2
+    return bytes([width]) + _packer().compress(rows[:width].tobytes())
 
 
 def unpack(body: bytes) -> bytes:
     """The chunk's ids as little-endian unsigned 32-bit integers."""
     width = body[0]
-    planes = np.frombuffer(_unpacker().decompress(body[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}").astype("<u4").tobytes()
+    raw = np.frombuffer(_unpacker().decompress(body[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(f"<u{width}").astype("<u4").tobytes()
 
 
 @functools.cache
@@ -141,35 +153,20 @@ _ENCODERS: dict[str, bpe.Encoder] = {}
 
 
 def library_encoder(path: str) -> bpe.Encoder:
-    """Encodes with the tokenizers library; ids of pieces it has seen are remembered.
-
-    The library gets the pieces that are not remembered in one text, separated by spaces, and the end
-    of each piece shows in its last token.
-    """
+    """Encodes with the tokenizers library: its model gives the ids of each piece; pieces are remembered."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        vocabulary = bpe.loaded(path)
-        ends = np.array([bool(vocabulary.end) and t.endswith(vocabulary.end) for t in vocabulary.token])
+        model = Tokenizer.from_file(path).model
+        symbols = dict(enumerate(bpe.byte_symbols()))  # the model reads bytes as these characters
 
         def merge(words: list[bytes]) -> list[bytes]:
-            out: list[bytes] = []
-            for k in range(0, len(words), 2000):
-                part = [w.decode("utf-8", "surrogatepass") for w in words[k : k + 2000]]
-                ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-                stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-                if len(stops) != len(part):  # a piece that the library cuts further when it stands alone
-                    out += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
-                    continue
-                raw = ids.tobytes()
-                out += [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
-            return out
-
-        _ENCODERS[path] = bpe.Encoder(vocabulary, merge, PIECES)
+            tokens = [model.tokenize(w.decode("latin-1").translate(symbols)) for w in words]
+            ids = np.array([t.id for ts in tokens for t in ts], "<u4").tobytes()
+            return bpe.cut_up(ids, 4 * np.cumsum(lengths(tokens)))
+
+        _ENCODERS[path] = bpe.Encoder(bpe.loaded(path), merge)
     return _ENCODERS[path]
 
 
@@ -184,30 +181,40 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
 
     def run(batches):
         enc = library_encoder(vocabulary)
-        end = np.uint32(end_id).tobytes()
         sent: set[bytes] = set()
         task, row = TaskContext.get().partitionId(), 0
         for batch in filled(batches):
             doc_ids, at = batch.column(0).to_pylist(), 0
             for part in bpe.runs(texts(batch)):
-                rows: list[tuple] = []
-                for raw in enc.encode(part):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    names, start = [], 0
-                    for stop in cuts(ids):
-                        chunk = ids[start:stop]
-                        start = stop
-                        names.append(name := hashlib.sha256(chunk.tobytes()).digest())
-                        if name not in sent:  # most copies end here; the shuffle finds the others
+                ids, ends = enc.arrays(part)
+                ids = np.insert(ids, ends, end_id)
+                ends = (ends + np.arange(1, len(part) + 1)).tolist()
+                places = marks(ids)
+                of_doc = np.searchsorted(places, ends, side="right").tolist()
+                places, raw, rows = places.tolist(), memoryview(ids.astype("<u4", copy=False).tobytes()), planes(ids)
+                wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
+                name, n, body, recipe, lists = [], [], [], [], []
+                for start, end, i, j in zip([0, *ends], ends, [0, *of_doc], of_doc, strict=False):
+                    names, a = [], start
+                    for b in _cut(places[i:j], start, end):
+                        names.append(digest := hashlib.sha256(raw[4 * a : 4 * b]).digest())
+                        if digest not in sent:  # most copies end here; the shuffle finds the others
                             if len(sent) > 200_000:
                                 sent.clear()
-                            sent.add(name)
-                            rows.append(("chunk", name, None, len(chunk), pack(chunk), None))
-                    doc_id = doc_ids[at]
-                    at, row = at + 1, row + 1
+                            sent.add(digest)
+                            name.append(digest)
+                            n.append(b - a)
+                            body.append(pack(rows[:, a:b], wide and int(ids[a:b].max()) >= 1 << 16))
+                        a = b
+                    row += 1
                     # a recipe's name differs from all others whatever repeats in the table, and is the same when a task runs again
-                    rows.append(("recipe", merkle(names) + task.to_bytes(4, "big") + row.to_bytes(8, "big"), doc_id, len(ids), None, names))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+                    recipe.append(merkle(names) + task.to_bytes(4, "big") + row.to_bytes(8, "big"))
+                    lists.append(names)
+                k, c = len(name), len(recipe)
+                kinds = pa.array(["chunk"] * k + ["recipe"] * c)
+                own = pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(doc_ids[at : at + c], pa.int64())])
+                at += c
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(name + recipe, pa.binary()), own, pa.array(n + np.diff(ends, prepend=0).tolist(), pa.int64()), pa.array(body + [None] * c, pa.binary()), pa.array([None] * k + lists, pa.list_(pa.binary()))], schema=SCHEMA)
 
     rows = docs.select("doc_id", "text").mapInArrow(run, ROW).dropDuplicates(["kind", "name"])
     rows.write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
