@@ -14,6 +14,8 @@ of pieces and matches add up to code-point offsets. No shuffle but that count.
 
 The patterns match the same spans as their plain forms; look-behinds and possessive quantifiers only
 keep the matcher from starting again inside a run, so long texts take linear time and no deep stack.
+Candidates are searched in the text with base spans hidden, and folds append to short lists, so the
+time of a text grows with its length whatever the number of its spans.
 
 Defined cases: a null or empty text has no spans (empty ``spans``, sha256 of nothing); repeated rows
 each get a row; without any candidate nothing is added to the base spans.
@@ -39,29 +41,82 @@ PATTERNS = {
 GAZETTEER = "password|passwd|passphrase|pwd|passwort|kennwort|contraseña|clave|mot de passe|token|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|auth"
 #: A word of the gazetteer, with what a variable's name may add to it, and what separates it from a value.
 NAMED = rf"(?:{GAZETTEER})(?:[_-][\w-]{{0,16}}|[0-9]{{1,4}})?\W{{0,6}}"
-#: Runs of key characters that have a digit anywhere, or follow a word of the gazetteer.
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{8}})(?:(?=[A-Za-z+/_-]*+[0-9])|(?<=(?=[abckmpstABCKMPST])(?i:{NAMED.replace('ñ', '[ñÑ]')})))[A-Za-z0-9+/_-]++"
+#: Runs of key characters that have a digit anywhere, or follow a word of the gazetteer, and are no part of a base span.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_\ufdd0-])(?=[A-Za-z0-9+/_-]{{8}})(?:(?=[A-Za-z+/_-]*+[0-9])|(?<=(?=[abckmpstABCKMPST])(?i:{NAMED.replace('ñ', '[ñÑ]')})))[A-Za-z0-9+/_-]++(?!\ufdd0)"
 CONTEXT = 32
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+MATCHES = "array<struct<start:int,stop:int,text:string,before:string>>"
+#: Numbers that a fold appends to one list, and code points of a piece of text: what bounds the copying of each.
+ROWS, PIECE = 256, 1024
+#: Two code points that Unicode reserves for a program's own use: what stands for a base span's key
+#: characters, and what marks the ends of matches. A text that has them is searched with U+FFFD there.
+USED, MARK = "\ufdd0", "\ufdd1"
+KEY = "A-Za-z0-9+/_-"
 
 
-def _matches(text: Column, pattern: str, context: int = 0) -> Column:
-    """array<struct<start, stop, text, before>> of the matches of a pattern, leftmost, not overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>").alias("out"))
-    last = lambda c: F.right(c, F.lit(context)) if context else F.lit("")
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: Catalyst doesn't copy it to where it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        row = F.struct(begin.alias("start"), end.alias("stop"), x["m"].alias("text"), last(F.concat(acc["tail"], last(x["p"]))).alias("before"))
-        # the end of the text so far, so the context of a match runs over the matches before it
-        tail = last(F.concat(acc["tail"], last(x["p"]), last(x["m"])))
-        return F.struct(end.alias("at"), tail.alias("tail"), F.array_append(acc["out"], row).alias("out"))
 
-    return F.aggregate(zipped, start, add, lambda acc: acc["out"])
+def _running(values: Column, join) -> Column:
+    """array<int>: the join (a sum, or the greatest) of all values up to each one.
+
+    A fold copies what it has gathered at each step, so it gathers numbers only, ``ROWS`` at a time;
+    each part starts from the join of the parts before it.
+    """
+
+    def part(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, state, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.array_append(a["out"], join(a["at"], x)).alias("out")), lambda a: a["out"])
+
+    def parts(xs: Column) -> Column:
+        sums = part(F.transform(xs, lambda x: F.aggregate(x, F.lit(0), join)), F.lit(0))
+        return _let(sums, lambda s: F.flatten(F.transform(xs, lambda x, i: part(x, F.coalesce(F.get(s, i - 1), F.lit(0))))))
+
+    return _let(values, lambda v: _let(F.transform(F.sequence(F.lit(1), F.size(v), F.lit(ROWS)), lambda i: F.slice(v, i, F.lit(ROWS))), parts))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """What is between the matches of a pattern (leftmost, not overlapping), and the matches, in turn."""
+    return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def _matches(pieces: Column, make, kind: str) -> Column:
+    """array of make(match, start, stop, place in the pieces), of type ``kind``."""
+    ends = _running(F.transform(pieces, F.length), lambda a, x: a + x)
+    made = _let(ends, lambda e: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: make(F.get(pieces, i), F.get(e, i - 1), F.get(e, i), i)))
+    return F.when(F.size(pieces) > 1, made).otherwise(F.array().cast(kind))
+
+
+def _rebuilt(text: Column, spans: Column, render) -> Column:
+    """The text with its spans (sorted, a variable) replaced: render(own, kind, fresh) gives what stands for a span.
+
+    A span that begins within the ones before it is not ``fresh`` and has what reaches beyond them as its
+    ``own`` text. The text is cut from pieces of fixed length, as taking a part out of a long string
+    reads it from the start.
+    """
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        first = lambda i: F.greatest(a - i * PIECE, F.lit(0))
+        part = lambda i: F.substring(F.get(pieces, i), first(i) + 1, F.least(b - i * PIECE, F.lit(PIECE)) - first(i))
+        whole = lambda n: F.floor(n / PIECE).cast("int")
+        return F.when(a < b, F.array_join(F.transform(F.sequence(whole(a), whole(b - 1)), part), "")).otherwise("")
+
+    def build(both: Column) -> Column:
+        pieces, reach = both["pieces"], both["reach"]
+
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            begin = F.greatest(before, x["start"])
+            return F.concat(cut(pieces, before, begin), render(cut(pieces, begin, F.get(reach, i)), x["kind"], x["start"] >= before))
+
+        # the last piece ends where the text does
+        return F.concat(F.array_join(F.transform(spans, one), ""), cut(pieces, F.element_at(reach, -1), F.size(pieces) * PIECE))
+
+    reach = _running(F.transform(spans, lambda x: x["stop"]), lambda a, x: F.greatest(a, x))
+    both = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), reach.alias("reach"))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(both, build))
 
 
 def _luhn(digits: Column) -> Column:
@@ -70,21 +125,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def _valid(kind: str, x: Column) -> Column:
-    if kind == "ip":
-        return x["text"].rlike(rf"^{PART}(?:\.{PART}){{3}}$")
-    digits = F.regexp_replace(x["text"], "[^0-9]", "")
-    if kind == "card":
-        return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(F.lit(False))
-    return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
+def _valid(kind: Column, text: Column) -> Column:
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    return (
+        F.when(kind == "ip", text.rlike(rf"^{PART}(?:\.{PART}){{3}}$"))
+        .when(kind == "card", F.length(digits).between(12, 19) & F.when(F.length(digits) <= 19, _luhn(digits)).otherwise(F.lit(False)))
+        .when(kind == "phone", F.length(digits).between(9, 15))
+        .otherwise(F.lit(True))
+    )
 
 
-def _base(kind: str) -> Column:
-    """The base spans of a kind; texts without its telltale character skip the pattern."""
-    text = F.col("text")
-    some = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, F.col("digits"))
-    spans = F.transform(F.filter(_matches(text, PATTERNS[kind]), lambda x: _valid(kind, x)), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["stop"].alias("stop"), F.lit(kind).alias("kind")))
-    return F.when(some, spans).otherwise(F.array().cast(SPAN))
+def _base(text: Column, digits: Column) -> Column:
+    """The base spans, sorted; texts without a kind's telltale character skip its pattern."""
+    some = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
+    searched = [F.struct(F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), F.when(some.get(k, digits), _pieces(text, p)).otherwise(F.array(F.lit(""))).alias("pieces")) for k, p in PATTERNS.items()]
+    make = lambda x: lambda match, start, stop, i: F.struct(start.alias("start"), x["rank"].alias("rank"), stop.alias("stop"), F.when(_valid(x["kind"], match), x["kind"]).alias("kind"))
+    return F.array_sort(F.filter(F.flatten(F.transform(F.array(*searched), lambda x: _matches(x["pieces"], make(x), SPAN))), lambda s: s["kind"].isNotNull()))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -127,13 +183,28 @@ def _promising(text: Column) -> Column:
     return text.rlike("[0-9]") | text.rlike(f"(?iu:{GAZETTEER})")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """The rows with columns text (null: empty), digits, base (sorted spans) and candidates."""
-    out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digits", F.col("text").rlike("[0-9]"))
-    out = out.withColumns({f"base_{k}": _base(k) for k in PATTERNS})
-    out = out.withColumn("base", F.array_sort(F.concat(*[F.col(f"base_{k}") for k in PATTERNS])))
-    found = F.filter(_matches(F.col("text"), CANDIDATE, CONTEXT), lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    return out.withColumn("candidates", F.when(_promising(F.col("text")), found).otherwise(F.array().cast("array<struct<start:int,stop:int,text:string,before:string>>")))
+def _candidates(text: Column, base: Column) -> Column:
+    """The candidates outside the base spans."""
+
+    def found(pieces: Column) -> Column:
+        # a candidate has 8 characters at least, so the context lies within the last nine pieces
+        near = lambda i: F.array_join(F.transform(F.sequence(F.greatest(i - 9, F.lit(0)), i - 1), lambda j: F.substring(F.get(pieces, j), -CONTEXT, CONTEXT)), "")
+        return _matches(pieces, lambda match, start, stop, i: F.struct(start.alias("start"), stop.alias("stop"), match.alias("text"), F.substring(near(i), -CONTEXT, CONTEXT).alias("before")), MATCHES)
+
+    hidden = _rebuilt(text, base, lambda own, kind, fresh: F.regexp_replace(own, f"[{KEY}]", USED))
+    return F.when(_promising(text), _let(_pieces(hidden, CANDIDATE), found)).otherwise(F.array().cast(MATCHES))
+
+
+def spans_column() -> Column:
+    """struct(base, candidates) of the columns text and digits: base spans (sorted) and candidates."""
+    clean = F.replace(F.replace("text", F.lit(USED), F.lit("\ufffd")), F.lit(MARK), F.lit("\ufffd"))
+    return _let(clean, lambda t: _let(_base(t, F.col("digits")), lambda b: F.struct(b.alias("base"), _candidates(t, b).alias("candidates"))))
+
+
+def with_spans(docs: DataFrame, found: Column | None = None) -> DataFrame:
+    """The rows with columns text (null: empty), digits, and found (``spans_column``, which may be given as it is long to build)."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digits", F.col("text").rlike("[0-9]"))
+    return rows.withColumn("found", spans_column() if found is None else found)
 
 
 def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[tuple[dict[int, float], dict[int, float]]]]:
@@ -208,14 +279,17 @@ def find(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
     keep = {c: f"_own_{i}" for i, c in enumerate(names)}  # the work columns can't clash with the table's
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in keep.items()], "text")
-    work = with_spans(renamed)
-    weights = train(with_spans(docs.select("text").where(_promising(F.col("text")))).select(F.explode("candidates").alias("x")))
+    found = spans_column()
+    work = with_spans(renamed, found)
+    # explode would make Spark compute the candidates once more, to drop rows without any
+    candidates = with_spans(docs.select("text").where(_promising(F.col("text"))), found).select(F.explode_outer("found.candidates").alias("x")).where("x is not null")
+    weights = train(candidates)
     added = F.array().cast(SPAN)
     if weights is not None:
-        chosen = F.filter("candidates", lambda c: _probability(c, weights) >= threshold)
+        chosen = F.filter("found.candidates", lambda c: _probability(c, weights) >= threshold)
         added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(KINDS.index("secret")).alias("rank"), c["stop"].alias("stop"), F.lit("secret").alias("kind")))
-    out = work.withColumn("all", F.array_sort(F.concat("base", added)))
-    return out.select(*[F.col(n).alias(c) for c, n in keep.items()], "text", F.col("base").alias("base_spans"), F.col("all").alias("all_spans"))
+    out = work.withColumn("all", F.array_sort(F.concat("found.base", added)))
+    return out.select(*[F.col(n).alias(c) for c, n in keep.items()], "text", F.col("found.base").alias("base_spans"), F.col("all").alias("all_spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -227,17 +301,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with every span of their text replaced by its kind in brackets; overlapping spans become one."""
-    found = find(docs)
-    empty = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > x["start"]), joined).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
-
-    merged = F.aggregate("all_spans", empty, merge)
-    pieces = F.transform("merged", lambda s, i: F.concat(F.substring(F.col("text"), F.when(i > 0, F.try_element_at(F.col("merged"), F.greatest(i, F.lit(1)))["stop"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.try_element_at(F.col("merged"), F.greatest(i, F.lit(1)))["stop"]).otherwise(0)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(F.col("text"), F.element_at("merged", -1)["stop"] + 1, F.length("text"))
-    clean = F.when(F.size("merged") == 0, F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    work = found.where(F.lit(True)).withColumn("merged", merged).withColumn("text", clean)
-    return work.select(*[f"`{c}`" for c in docs.columns])
+    found = find(docs.select(*[F.col(f"`{c}`").alias(f"_doc_{i}") for i, c in enumerate(docs.columns) if c != "text"], "text"))
+    clean = _let(F.col("all_spans"), lambda spans: _rebuilt(F.col("text"), spans, lambda own, kind, fresh: F.when(fresh, F.concat(F.lit("["), F.upper(kind), F.lit("]"))).otherwise("")))
+    return found.select(*[clean.alias("text") if c == "text" else F.col(f"_doc_{i}").alias(c) for i, c in enumerate(docs.columns)])
