@@ -89,7 +89,14 @@ def test_chunks_follow_content():
     b = np.concatenate([rng.integers(0, 49_000, 777).astype(np.uint32), a])
     cut = lambda x: {x[i:j].tobytes() for i, j in zip([0, *chunk_store.cuts(x)], chunk_store.cuts(x), strict=False)}
     assert chunk_store.cuts(a)[-1] == len(a) and len(cut(a) & cut(b)) > 0.9 * len(cut(a))
-    assert chunk_store.unpack(chunk_store.pack(a)) == a.tobytes()
+    for wide in (False, True):
+        assert chunk_store.unpack(chunk_store.pack(chunk_store.planes(a), wide)) == a.tobytes()
+    ends = [3, 3, 60_000, 100_000]
+    flat = np.concatenate([b[:3], a, b, a])[:100_000]
+    places = chunk_store.marks(flat)
+    for i, j in zip([0, *ends], ends, strict=False):
+        inside = places[(places > i) & (places <= j)].tolist()
+        assert [x - i for x in chunk_store._cut(inside, i, j)] == chunk_store.cuts(flat[i:j])
     assert max(np.diff([0, *chunk_store.cuts(np.zeros(20_000, np.uint32))])) <= chunk_store.MOST
     data = rng.bytes(5000)
     assert chunk_store.crc_of_concatenation([(zlib.crc32(data[:7]), 7), (zlib.crc32(data[7:4000]), 3993), (zlib.crc32(data[4000:]), 1000)]) == zlib.crc32(data)
@@ -184,6 +191,17 @@ def test_decontamination_cases(spark, odd):
     assert len(list(decontaminate.blocks(items, limit=5))) == 3
 
 
+def test_decontamination_in_blocks(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert len(list(decontaminate.blocks(items, size // 3))) >= 3
+    one, several = (sorted(map(tuple, decontaminate.contaminated(docs, items, n).collect())) for n in (1 << 24, size // 3))
+    assert one and one == several
+    kept = [r["doc_id"] for r in decontaminate.clean(docs, items, size // 3).collect()]
+    assert sorted(kept) == sorted(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    assert not set(kept) & {r[0] for r in one}
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(3)
     net = language_id._start(["a", "b", "c"], 4, rng)
@@ -272,6 +290,53 @@ def test_crf_marginals_equal_enumeration():
     assert abs(total - log_z) < 1e-9 and np.allclose(pairs, want_pairs)
 
 
+def test_a_long_chain_equals_the_lanes():
+    rng = random.Random(2)
+    words = ["good", "line", "###", "$$$ &&", "Ünïcode", "", "A B C", "same same"]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(700)).encode()
+    field = quality_crf.train([("Good line here.\nAnother good line.\nAnd more", 1), ("*** $$$\n### &&&\nx", 0)] * 5)
+    want = quality_crf.mean_marginals(field, [text])[0]
+    for block in (1, 7, 699, 10_000):
+        assert abs(quality_crf.long_mean(field, text, block) - want) < 1e-9
+    many = b"x\n" * 300_000
+    assert len(many.split(b"\n")) > quality_crf.LONG and 0 <= quality_crf.mean_marginals(field, [many, text])[0] <= 1
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    from lithograph.llm import common
+
+    docs = spark.createDataFrame([(i % 40, f"text {i % 3} " + "x" * (i % 40), "en" if i % 2 else "de") for i in range(4000)] + [(None, "n", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(200)] + [(None, 1), (999, 1)], "doc_id long, quality int")
+    got = common.labelled_sample(docs, labels, "quality", F.lit(True), 30)
+    assert 25 <= len(got) <= 30 and got == common.labelled_sample(docs.repartition(3), labels, "quality", F.lit(True), 30)
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 200)
+    assert 0 < sum(len(t) for t, _ in common.labelled_sample(docs, labels, "quality", F.lit(True), 30)) <= 200
+    assert common.labelled_sample(docs.limit(0), labels, "quality", F.lit(True), 30) == []
+    windows = language_id.sample(docs, id_crc() % 5 != 0, 7)
+    assert collections.Counter(lang for _, lang in windows) == {"en": 14, "de": 14}
+    assert language_id.sample(docs.limit(0), F.lit(True)) == []
+
+
+def test_null_ids_and_empty_tables(spark, odd):
+    none = spark.createDataFrame([(None, "Some text of a few words, with a line.\nAnd another one 1.2.3.4", None)] * 2, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    field = quality_crf.train([("Good line here.\nAnother good line.", 1), ("*** $$$\n### &&&", 0)] * 5)
+    for docs, n in ((none, 2), (none.limit(0), 0)):
+        assert decontaminate.contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+        assert quality_crf.score(docs, field).count() == n
+        assert quality_crf.classify(docs, marks, F.lit(True)).where("score = 0.5").count() == n
+        assert toxicity.classify(docs, marks, F.lit(True)).count() == n
+        assert language_id.identify(docs, id_crc() % 5 != 0).where("lang_pred = 'und' and doc_id is null").count() == n
+        assert quality_rules.rules(docs, docs).count() == n
+        assert bpe.digests(docs, VOCABULARY).count() == n
+        assert pii.report(docs).where("n_ip = 1").count() == n
+        path = shared_dir(spark)
+        chunk_store.write_store(docs, path, VOCABULARY, 2)
+        assert chunk_store.verify(spark, path).where("whole").count() == n
+        held = docs.select((id_crc() % 5 == 0).alias("held"))
+        assert held.where("held").count() == n
+
+
 @pytest.mark.parametrize("name, label, remainder, accuracy", [("op2_quality_crf", "quality", lambda c: c % 5 == 0, 0.93), ("op9_toxicity", "toxic", lambda c: c % 3 == 1, 0.85)])
 def test_classifiers_on_held_out_rows(spark, name, label, remainder, accuracy):
     sf = "/root/testdata/sf0.01"
@@ -349,9 +414,9 @@ def test_pii_candidates_and_their_context(spark):
     late = "Q" * 70 + "9zK"
     texts = ["password=correcthorsebatterystaple", "api_key_v2=sk9f8d7s6a5", f"secret: {late}", "plain words without anything", "Contraseña: unaclavelarga"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: [(c["text"], c["before"]) for c in r["candidates"]] for r in pii.with_spans(df).collect()}
+    got = {r["doc_id"]: [(c["text"], c["before"]) for c in r["found"]["candidates"]] for r in pii.with_spans(df).collect()}
     assert got == {0: [("correcthorsebatterystaple", "password=")], 1: [("api_key_v2", ""), ("sk9f8d7s6a5", "api_key_v2=")], 2: [(late, "secret: ")], 3: [], 4: [("unaclavelarga", "Contraseña: ")]}
-    named = pii.with_spans(df).select(F.explode("candidates").alias("x")).select("x.text", pii.votes(F.col("x"))["gazetteer"].alias("v"), pii.span_features(F.col("x"))["named"].alias("n"))
+    named = pii.with_spans(df).select(F.explode("found.candidates").alias("x")).select("x.text", pii.votes(F.col("x"))["gazetteer"].alias("v"), pii.span_features(F.col("x"))["named"].alias("n"))
     assert {(r["v"], r["n"]) for r in named.collect() if r["text"] != "api_key_v2"} == {(1, True)}
     more = [t for t in PII_TEXTS if t] + ["the year 2024abcd and route66b, model x100-200 of 12345678 units"] * 5 + ["a token distribution is what we plot"]
     both = spark.createDataFrame(list(enumerate([*texts, *more])), "doc_id long, text string")
@@ -360,6 +425,44 @@ def test_pii_candidates_and_their_context(spark):
     assert clean[1].endswith("=[SECRET]") and clean[len(texts) + len(more) - 1] == more[-1]
 
 
+def brute_candidates(text):
+    """Candidates with a digit by their definition: runs of key characters that no base span touches."""
+    base = [(a, b) for a, _, b, _ in brute_spans(text)]
+    at, out = 0, []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        near = at < len(base) and base[at][0] < m.end()
+        if len(m.group()) >= 8 and re.search("[0-9]", m.group()) and not near:
+            out.append((m.start(), m.end(), text[max(0, m.start() - 32) : m.start()]))
+    return out
+
+
+def test_pii_is_linear_in_a_long_text(spark):
+    import time
+
+    rng = random.Random(5)
+    odd = lambda: rng.choice(["10.0.0.%d" % rng.randrange(300), "a%d@b.co" % rng.randrange(99), "é😀", "\ufdd1\ufdd0", "x/1.2.3.4", "4111 1111 1111 1111", "word"])
+    words = [f"k{rng.randrange(10**8):08d}z" if i % 5 else odd() for i in range(100_000)]
+    texts = [" ".join(words), " ".join(words[:300])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    got = {r["doc_id"]: r["found"] for r in pii.with_spans(df).select("doc_id", "found").collect()}
+    spent = time.time() - start
+    for k, text in enumerate(texts):
+        assert [(b["start"], b["rank"], b["stop"], b["kind"]) for b in got[k]["base"]] == brute_spans(text)
+        want = brute_candidates(text)
+        assert [(c["start"], c["stop"]) for c in got[k]["candidates"]] == [w[:2] for w in want]
+    assert len(want) > 200 and len(got[0]["candidates"]) > 70_000 and spent < 30
+    hidden = {r["doc_id"]: r["text"] for r in pii.with_spans(df).select("doc_id", pii._let(F.col("found.base"), lambda b: pii._rebuilt(F.col("text"), b, lambda own, kind, fresh: F.concat(F.lit("["), kind, F.lit("]")))).alias("text")).collect()}
+    for k, text in enumerate(texts):  # no two base spans of these texts overlap
+        parts, at = [], 0
+        for a, _, b, kind in brute_spans(text):
+            parts += [text[at:a], f"[{kind}]"]
+            at = b
+        assert hidden[k] == "".join(parts) + text[at:]
+
+
 def test_reliabilities_favour_labelers_that_agree():
     share, tables = pii.reliabilities([((1, 1, 1), 40), ((-1, -1, 0), 50), ((1, 1, -1), 5), ((-1, -1, 1), 5)])
     assert 0.3 < share < 0.6 and tables[0][0][1] > 0.9 > tables[2][0][1] > 0.5
@@ -390,6 +493,55 @@ def test_url_cases(spark, url, host, path, rule, verdict):
     assert tuple(url_filter.judge(pages, url_filter.RULES).first()) == (1, host, path, rule, verdict)
 
 
+def test_url_filter_with_many_rules(spark):
+    import time
+
+    rng = random.Random(1)
+    rules = [("example.com", f"/p/{i:x}", "block" if i % 2 else "allow") for i in range(50_000)] + [("com", "/p/", "block"), ("a.example.com", "/", "allow"), ("a.example.com", "/", "block")]
+    root = url_filter.build(rules)
+    paths = [f"/p/{rng.randrange(1 << 18):x}/y" for _ in range(2000)]
+    start = time.time()
+    got = [url_filter.longest(root, "www.example.com", p) for p in paths]
+    assert time.time() - start < 2
+    known = {p: (h, p, v) for h, p, v in rules if h == "example.com"}
+    assert got == [next((known[p[:n]] for n in range(len(p), 0, -1) if p[:n] in known), ("com", "/p/", "block")) for p in paths]
+    assert url_filter.longest(root, "a.example.com", "/p/1") == ("a.example.com", "/", "block")  # block stands before allow
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, p in enumerate(paths[:50]) for h in ("www.example.com", "a.example.com", "x.com", "y.org")] + [(None, None)], "page_id long, url string")
+    some = rules[:30] + rules[-3:]
+    one = sorted(map(repr, url_filter.judge(pages, some).collect()))
+    assert one == sorted(map(repr, url_filter.judge(pages, some, most=7).collect()))
+    assert url_filter.judge(pages, []).where("verdict = 'allow' and rule is null").count() == pages.count()
+    assert url_filter.judge(pages.limit(0), some).count() == 0
+
+
+def test_vocabularies_that_are_not_supported_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(VOCABULARY))
+    for section in ("normalizer", "pre_tokenizer"):
+        path = tmp_path / f"{section}.json"
+        path.write_text(json.dumps(spec | {section: None}))
+        with pytest.raises(ValueError, match="supported"):
+            bpe.Vocabulary(str(path))
+
+
+def test_piece_bounds_equal_the_pattern():
+    rng = random.Random(8)
+    parts = ["'s", "'", "''", "'re", "'r", "'ll", "'stop", "don't", "é", "12", ".", "  ", "\n", "x", "\x00", "\x7f", "ſ", "(", "'ve'm"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        data = text.encode() + b"\n"
+        s, e = bpe.piece_bounds(np.frombuffer(data, np.uint8))
+        assert [data[i:j].decode() for i, j in zip(s.tolist(), e.tolist(), strict=True)] == bpe.LATIN_PIECES.findall(text) == bpe.PIECES.findall(text)
+
+
+def test_a_full_memory_starts_anew(documents, library):
+    enc = bpe.Encoder(bpe.loaded(VOCABULARY), memory=50)
+    for k in range(0, len(documents), 20):
+        part = [t or "" for _, t in documents[k : k + 20]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_pipeline(spark, sf, documents):
     import corpus_pipeline
 
