@@ -86,13 +86,54 @@ def citations(markdown: Column) -> Column:
 
 
 def redacted(text: Column, limit: int = 1600) -> Column:
-    """Keys, bearer tokens and assigned secrets replaced; cut to a length."""
+    """Keys, bearer tokens of authorization headers and assigned API keys replaced; cut to a length."""
     out = F.regexp_replace(text, "sk-[A-Za-z0-9_-]{8,}", "[redacted]")
-    out = F.regexp_replace(out, "(?i)bearer\\s+[A-Za-z0-9._-]+", "Bearer [redacted]")
-    out = F.regexp_replace(out, "(?i)(api[_-]?key|password|token)(\\s*[=:]\\s*)[^\\s,;]+", "$1$2[redacted]")
+    out = F.regexp_replace(out, "(?i)(authorization[\"']?\\s*[:=]\\s*[\"']?bearer\\s+)[A-Za-z0-9._~+/=-]+", "$1[redacted]")
+    out = F.regexp_replace(out, "(?i)(api[_-]?key[\"']?\\s*[:=]\\s*[\"']?)[^\\s,;\"']+", "$1[redacted]")
     return F.substring(out, 1, limit)
 
 
+def markdown_faults(text: Column, title: Column) -> Column:
+    """array<string>: what a page lacks, of a first heading, its title there, and a further heading."""
+    first = F.regexp_extract(text, "(?m)\\A\\s*# +(.+?)\\s*$", 1)
+    return F.array_compact(F.array(F.when(first == "", "no first heading"), F.when((first != "") & (first != title), "another title"), F.when(~text.rlike("(?m)^## +\\S"), "no section")))
+
+
+def without_source_lines(text: Column) -> Column:
+    """Lines that begin with ``Sources:`` go where they stand outside of fences; runs of blank lines become one."""
+    lines = F.split(text, "\n")
+    state = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        fence = F.startswith(F.ltrim(x), F.lit("```"))
+        drop = ~acc["fenced"] & F.ltrim(x).rlike("^(?:\\*\\*)?Sources:")
+        return F.struct((acc["fenced"] != fence).alias("fenced"), F.when(drop, acc["out"]).otherwise(F.array_append(acc["out"], x)).alias("out"))
+
+    kept = F.aggregate(lines, state, add, lambda acc: F.array_join(acc["out"], "\n"))
+    return F.regexp_replace(F.regexp_replace(kept, "\n{3,}", "\n\n"), "\\A\\s+|\\s+\\z", "")
+
+
+def canonical_json(columns: dict[str, Column]) -> Column:
+    """JSON of named values, keys in order, with the spaces of ``, `` and ``: `` between them."""
+    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(F.to_json(F.array(columns[k])), F.lit("[null]"))) for k in sorted(columns)]
+    inner = [F.regexp_replace(p, '^("[^"]*": )\\[(?s)(.*)\\]$', "$1$2") for p in parts]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *inner), F.lit("}"))
+
+
+def normal_name(name: Column) -> Column:
+    """A community's name in one form: runs of white space are a space, no quotes or stops around it."""
+    return F.regexp_replace(F.regexp_replace(F.trim(name), "\\s+", " "), "^[\"'`.:]+|[\"'`.:]+$", "")
+
+
+# Names that say nothing.
+GENERIC_NAMES = ["community", "module", "component", "group", "cluster", "misc", "other", "unknown", "untitled"]
+
+
+def is_generic_name(name: Column) -> Column:
+    """Whether a name is empty or only one of the words that say nothing, with a number or without."""
+    return F.lower(normal_name(name)).rlike("^(?:(?:" + "|".join(GENERIC_NAMES) + ")\\s*#?\\d*)?$")
+
+
 def json_object(text: Column) -> Column:
     """The outermost {...} of a noisy text; empty if there is none."""
     return F.regexp_extract(text, "(?s)\\{.*\\}", 0)

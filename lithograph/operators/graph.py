@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Edge types of flows, of impact and of file dependence, and node types that contain others.
 FLOW_TYPES = ["calls", "references", "routes_to"]
 IMPACT_TYPES = ["calls", "references", "routes_to", "imports", "inherits", "implements", "uses_config"]
 CONTAINER_TYPES = ["repository", "directory", "file", "config", "class", "interface", "schema"]
@@ -19,6 +20,7 @@ CONTAINER_TYPES = ["repository", "directory", "file", "config", "class", "interf
 EDGE_WEIGHTS = {"calls": 1.0, "routes_to": 1.0, "inherits": 0.9, "implements": 0.86, "imports": 0.82, "exports": 0.78, "references": 0.7, "uses_config": 0.66, "defines": 0.72, "contains": 0.58}
 EDGE_ORDER = {"contains": 0, "defines": 1, "routes_to": 2, "calls": 3, "references": 4, "imports": 5, "inherits": 6, "implements": 6}
 OTHER_WEIGHT, OTHER_ORDER, DECAY = 0.35, 9, 0.78
+# The kinds of community edges.
 COMMUNITY_TYPES = {"calls": "calls_into", "imports": "imports_from", "exports": "imports_from", "routes_to": "routes_to"}
 
 
@@ -29,11 +31,22 @@ def lookup(values: dict, key: Column, default) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; only a local master, which has one machine, may leave it unset."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lithograph-")
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder (one of its own only where none is set)."""
+    """Cuts lineage through the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lithograph-"))
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -54,7 +67,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, picked: DataFrame, outgoing:
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, degree, centrality: both ends count, divided by the largest degree."""
-    ends = edges.select(F.col("source_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))  # one read of the edges
     degrees = nodes.select("id").join(ends, "id", "left").fillna(0, ["degree"])
     most = degrees.agg(F.max("degree").alias("most"))
     return degrees.crossJoin(F.broadcast(most)).select("id", "degree", F.when(F.col("most") > 0, F.col("degree") / F.col("most")).otherwise(0.0).alias("centrality"))
@@ -77,11 +90,12 @@ def boundary(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return both.where(F.coalesce("s_in", F.lit(False)) != F.coalesce("t_in", F.lit(False))).select(*edges.columns)
 
 
-def reachable(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """id, depth: the nodes that links(src, dst) reach from roots(id) in at most ``depth`` steps."""
+def reachable(links: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, depth: the nodes that links(src, dst) reach from roots(id), in at most ``depth`` steps if that is given."""
     seen = cut(roots.select("id", F.lit(0).alias("depth")).distinct())
-    front = seen
-    for step in range(1, depth + 1):
+    front, step = seen, 0
+    while depth is None or step < depth:
+        step += 1
         near = links.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = cut(near.join(seen, "id", "left_anti").select("id", F.lit(step).alias("depth")))
         if front.isEmpty():
@@ -164,9 +178,82 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, most: int = 60) -> Dat
     return chosen
 
 
+def expand_undirected(edges: DataFrame, roots: DataFrame, depth: int = 3, most: int = 160) -> DataFrame:
+    """id, hop, place: breadth-first expansion along edges in both directions until ``most`` nodes are selected.
+
+    roots(id, place). A node is found by the earliest place of the hop before and, from there, by the
+    first edge in order of type, confidence (downwards) and id; nodes of a hop are numbered in that order.
+    """
+    order = [lookup(EDGE_ORDER, F.col("type"), OTHER_ORDER).alias("o"), (-F.col("confidence")).alias("c"), F.col("id").alias("e")]
+    ends = F.explode(F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst"))))
+    both = edges.where("source_id <> target_id").select(ends.alias("x"), *order).select("x.*", "o", "c", "e")
+    chosen = cut(roots.groupBy("id").agg(F.min("place").alias("place")).select("id", F.lit(0).alias("hop"), F.col("place").cast("long")))
+    front = chosen
+    for hop in range(1, depth + 1):
+        room = most - chosen.count()
+        if room <= 0:
+            break
+        near = both.join(F.broadcast(front.select(F.col("id").alias("src"), "place")), "src").join(F.broadcast(chosen.select(F.col("id").alias("dst"))), "dst", "left_anti")
+        found = near.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("place", "o", "c", "e")).alias("key"))
+        first = found.orderBy("key").limit(room)  # ``most`` rows at the most, so the window below is small
+        front = cut(first.select("id", F.lit(hop).alias("hop"), F.row_number().over(Window.orderBy("key")).cast("long").alias("place")))
+        if front.isEmpty():
+            break
+        chosen = cut(chosen.unionByName(front))
+    return chosen
+
+
+def affected_refs(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """ref: ids of the nodes of files(file_path) and of the edges at them."""
+    own = nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id")
+    ends = edges.select(F.col("id").alias("ref"), F.explode(F.array("source_id", "target_id")).alias("id"))
+    return own.select(F.col("id").alias("ref")).union(ends.join(own, "id", "left_semi").select("ref")).distinct()
+
+
+def set_stats(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """inside, incoming, outgoing: edges within ids(id), into them and out of them, in one row."""
+    mark = lambda c, n: ids.select(F.col("id").alias(c), F.lit(True).alias(n))
+    both = edges.join(mark("source_id", "s"), "source_id", "left").join(mark("target_id", "t"), "target_id", "left")
+    s, t = F.coalesce("s", F.lit(False)), F.coalesce("t", F.lit(False))
+    return both.agg(F.count_if(s & t).alias("inside"), F.count_if(~s & t).alias("incoming"), F.count_if(s & ~t).alias("outgoing"))
+
+
+def drilldown(nodes: DataFrame, edges: DataFrame, parents: DataFrame, container: str, most: int = 140) -> DataFrame:
+    """source, target, type, n, inferred: edges below a container, bucketed by what is visible there.
+
+    parents(id, parent) is the containment. Members are all descendants; classes, functions and methods
+    are visible themselves, all others stand for their file. Edges within one visible node are left out.
+    """
+    down = parents.select(F.col("parent").alias("src"), F.col("id").alias("dst"))
+    root = nodes.where(F.col("id") == container).select("id")
+    members = reachable(down, root).select("id")
+    own = nodes.join(members, "id", "left_semi").select("id", "type", "file_path")
+    files = own.where("type in ('file', 'config')").groupBy("file_path").agg(F.min("id").alias("file_id"))
+    shown = own.join(files, "file_path", "left").select("id", F.when(F.col("type").isin("class", "function", "method"), F.col("id")).otherwise(F.coalesce("file_id", "id")).alias("shown"))
+    rows = edges.where("type <> 'contains'")
+    for side in ("source", "target"):
+        rows = rows.join(shown.select(F.col("id").alias(f"{side}_id"), F.col("shown").alias(side)), f"{side}_id")
+    return rows.where("source <> target").groupBy("source", "target", "type").agg(F.count("*").alias("n"), F.bool_or("is_inferred").alias("inferred")).orderBy(F.desc("n"), "source", "target", "type").limit(most)
+
+
+def pruned(parents: DataFrame, hidden: DataFrame) -> DataFrame:
+    """id: the nodes that are neither hidden(id) nor below a hidden one along parents(id, parent), to the fixpoint."""
+    gone = reachable(parents.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst")), hidden)
+    return parents.select("id").join(gone.select("id"), "id", "left_anti")
+
+
+def highlighted(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """id, state of every node of nodes(id): selected, neighbour (by any edge) or faded."""
+    mark = selected.select(F.col("id"), F.lit(0).alias("rank")).distinct()
+    near = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionAll(edges.select(F.col("target_id"), F.col("source_id"))).join(selected.select("id"), "id", "left_semi")
+    states = mark.unionByName(near.select(F.col("other").alias("id"), F.lit(1).alias("rank"))).groupBy("id").agg(F.min("rank").alias("rank"))
+    return nodes.select("id").join(states, "id", "left").select("id", lookup({0: "selected", 1: "neighbour"}, F.col("rank"), "faded").alias("state"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component: the smallest id that each node reaches, by spreading minima and jumping pointers."""
     both = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).unionAll(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"))).distinct()
+    both = cut(both)  # read in each round
     now = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(now.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("least"))
@@ -193,7 +280,7 @@ def community_dependencies(communities: DataFrame, members: DataFrame, edges: Da
     # a group may hold any number of edges; only its first ids are ever gathered
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
     first = rows.select(*keys, "id").withColumn("place", place).where(F.col("place") <= evidence).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("evidence"))
-    return sums.join(first, keys).select(*keys, F.round("weight", digits).alias("weight"), F.round("confidence", digits).alias("confidence"), "edge_count", "evidence")
+    return sums.join(first, keys).select(*keys, F.bround("weight", digits).alias("weight"), F.bround("confidence", digits).alias("confidence"), "edge_count", "evidence")
 
 
 def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

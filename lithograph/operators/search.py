@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithograph.functions.scalars import TERM, query_terms, terms
-from lithograph.operators.graph import degree_centrality, lookup
+from lithograph.operators.graph import cut, degree_centrality, lookup
 
-K1, B = 1.2, 0.75
-# What a node's type adds to its search score, and the weights of the hybrid ranking.
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+# What a node's type adds to its search score and to its score as a seed, the types of seeds,
+# and the weights of the hybrid ranking.
 TYPE_BOOST = {"endpoint": 0.35, "function": 0.3, "method": 0.3, "class": 0.28, "interface": 0.25, "schema": 0.22, "file": 0.1, "module": -0.15}
+SEED_BOOST = {"endpoint": 0.12, "function": 0.1, "method": 0.1, "class": 0.08, "schema": 0.08, "file": 0.04, "module": -0.1}
+SEED_TYPES = ["file", "config", "class", "function", "method", "schema", "endpoint", "module"]
 HYBRID = {"semantic": 0.35, "keyword": 0.25, "proximity": 0.20, "importance": 0.10, "freshness": 0.10}
 
 
@@ -25,18 +28,43 @@ def index_size(index: DataFrame) -> DataFrame:
     return index.groupBy("id").agg(F.sum("tf").alias("doc_len"))
 
 
-def bm25(index: DataFrame, query: list[str], prefix: bool = False) -> DataFrame:
-    """id, bm25: the score of every chunk that has one of the query's terms (or a term that begins with one)."""
-    lens = index_size(index)
-    total = lens.agg(F.count("*").alias("docs"), F.avg("doc_len").alias("mean_len"))
-    wanted = F.lit(False)
-    for q in query:
-        wanted = wanted | (F.startswith(F.col("term"), F.lit(q)) if prefix else F.col("term") == q)
-    hits = index.where(wanted)
-    seen = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean_len"))
-    return hits.join(seen, "term").join(lens, "id").crossJoin(F.broadcast(total)).groupBy("id").agg(F.sum(weight * F.col("tf") * (K1 + 1) / norm).alias("bm25"))
+def _idf(docs: Column, df: Column) -> Column:
+    """ln((N - n + 0.5) / (n + 0.5)); a term that more than half of the texts have counts next to nothing."""
+    value = F.log((docs - df + 0.5) / (df + 0.5))
+    return F.when(value > 0, value).otherwise(LEAST_IDF)
+
+
+def _bm25_part(idf: Column, tf: Column, doc_len: Column, mean: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / mean))
+
+
+def bm25(chunks: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
+    """id, bm25: the score of every chunk that has one of the query's terms.
+
+    A map over the texts counts the asked terms and the length of each, without an index: one row with
+    the statistics is the only thing that is shuffled.
+    """
+    asked = list(dict.fromkeys(query))
+    equal = lambda q: lambda x: x == q
+    counts = [F.size(F.filter("t", equal(q))).alias(f"tf{i}") for i, q in enumerate(asked)]
+    rows = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).select("id", F.size("t").alias("doc_len"), *counts)
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("doc_len").alias("mean_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
+    hits = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))) or "false").crossJoin(F.broadcast(stats))
+    parts = [F.when(F.col(f"tf{i}") > 0, _bm25_part(_idf(F.col("docs"), F.col(f"df{i}")), F.col(f"tf{i}"), F.col("doc_len"), F.col("mean_len"))).otherwise(0.0) for i in range(len(asked))]
+    return hits.select("id", sum(parts, F.lit(0.0)).alias("bm25"))
+
+
+def like_hits(chunks: DataFrame, text: str, limit: int) -> DataFrame:
+    """Chunks whose path or content has a text: id, score (0.8 for the path, else 0.5), the first by score, path and line."""
+    in_path, inside = literal_like(F.col("file_path"), text), literal_like(F.col("content"), text)
+    found = chunks.where(in_path | inside).withColumn("score", F.when(in_path, 0.8).otherwise(0.5))
+    return found.orderBy(F.desc("score"), "file_path", "start_line", "id").limit(limit)
+
+
+def all_terms(rows: DataFrame, text_col: str, query: list[str]) -> DataFrame:
+    """The rows whose text has every term of the query (what a query without operators asks of a text index)."""
+    asked = F.array(*map(F.lit, dict.fromkeys(query)))
+    return rows.where(F.size(F.array_except(asked, terms(F.col(text_col)))) == 0)
 
 
 def by_position(hits: DataFrame, order: list[Column], limit: int, step: float, least: float = 0.1) -> DataFrame:
@@ -46,6 +74,15 @@ def by_position(hits: DataFrame, order: list[Column], limit: int, step: float, l
     return top.withColumn("position", place).withColumn("score", F.round(F.greatest(F.lit(least), 1 - step * (F.col("position") - 1)), 4))
 
 
+def first_of(frames: list[DataFrame], key: str) -> DataFrame:
+    """The union of frames with one row a key: that of the first frame which has it (a key counts once a frame)."""
+    out = None
+    for i, df in enumerate(frames):
+        part = df.select(key, F.struct(F.lit(i).alias("_at"), *[c for c in df.columns if c != key]).alias("_row"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(key).agg(F.min("_row").alias("_row")).select(key, "_row.*").drop("_at")
+
+
 def literal_like(column: Column, text: str) -> Column:
     return F.contains(F.lower(column), F.lit(text.lower()))
 
@@ -84,26 +121,38 @@ def symbol_seeds(nodes: DataFrame, query: str) -> DataFrame:
     score = F.greatest(direct, F.when(shared > 0, 0.55 + 0.12 * shared).otherwise(0.0))
     score = F.when(score > 0, score).when(F.exists(asked, lambda t: F.contains(hay, t)), 0.42).otherwise(0.0)
     out = nodes.withColumn("raw", score).where("raw > 0")
-    return out.select("id", F.round(F.least(F.col("raw") + lookup(TYPE_BOOST, F.col("type"), 0.0), F.lit(1.25)), 4).alias("score"))
+    return out.select("id", F.round(F.least(F.col("raw") + lookup(SEED_BOOST, F.col("type"), 0.0), F.lit(1.25)), 4).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, place: the k nearest vectors by cosine of every query (a small, stated set).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, most: int = 20_000) -> DataFrame:
+    """query_id, vec_id, score, place: the k nearest vectors by cosine of every query (a stated set of queries).
 
-    The queries are broadcast once with their norms; each task keeps its own best k of a query before
-    the shuffle (max_by over a bounded array is not needed: row_number's group limit prunes early).
+    Queries are broadcast at most ``most`` at a time; more are asked in blocks by a hash of their id, one
+    after the other, each block's best written to the checkpoint folder. Of a query's scores each task
+    keeps its own best k before the shuffle (the group limit of row_number).
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm")))
     v = vectors.select("vec_id", "embedding", norm("embedding").alias("v_norm"))
-    pairs = v.crossJoin(q).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("v_norm") * F.col("q_norm"), F.lit(0.0))), 6).alias("score")).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    blocks = -(-queries.count() // most)
+
+    def asked(part: DataFrame) -> DataFrame:
+        q = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm")))
+        pairs = v.join(q, F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("v_norm") * F.col("q_norm"), F.lit(0.0))), 6).alias("score")).where("score > 0")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return scored.withColumn("place", place).where(F.col("place") <= k)
+
+    if blocks <= 1:
+        return asked(queries)
+    out = None
+    for b in range(blocks):
+        found = cut(asked(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def proximity(hops: Column) -> Column:

@@ -103,7 +103,11 @@ def _(m):
     return G.impact(m.nodes, G.cut(m.edges), m.nodes.where("id = 'p:7'").select("id"), 2)
 
 
-@query("itr_02_shortest_flow")
+@query(
+    "itr_02_shortest_flow",
+    ", a AS (SELECT e.id AS e1, e.target_id AS mid FROM g_edges e WHERE e.source_id = 'c:5' AND e.type = 'routes_to'), b AS (SELECT a.e1, a.mid, e.id AS e2, e.target_id AS last FROM a JOIN g_edges e ON e.source_id = a.mid AND e.type = 'calls' ORDER BY a.e1, e.confidence DESC, e.id LIMIT 1) SELECT 0 AS step, 'c:5' AS id, NULL AS edge_id FROM b UNION ALL SELECT 1, mid, e1 FROM b UNION ALL SELECT 2, last, e2 FROM b",
+    "g_edges",
+)
 def _(m):
     return G.shortest_flow(m.nodes, G.cut(m.edges), m.nodes.where("id = 'c:5'").select("id"), m.nodes.where("type = 'function'").select("id"))
 
@@ -192,8 +196,7 @@ def _(m):
     "g_nodes",
 )
 def _(m):
-    m.nodes.createOrReplaceTempView("lithograph_status_nodes")
-    return m.spark.sql("select type, language, count(*) as n, cast(grouping(type) as int) as g_type, cast(grouping(language) as int) as g_language from lithograph_status_nodes group by grouping sets ((type), (language), ())")
+    return m.spark.sql("select type, language, count(*) as n, cast(grouping(type) as int) as g_type, cast(grouping(language) as int) as g_language from {nodes} group by grouping sets ((type), (language), ())", nodes=m.nodes)
 
 
 @query(
@@ -311,8 +314,7 @@ def _(m):
     "g_communities",
 )
 def _(m):
-    m.communities.createOrReplaceTempView("lithograph_communities")
-    return m.spark.sql("with recursive t(id, above, steps) as (select id, parent_id, 1 from lithograph_communities where parent_id is not null union all select t.id, c.parent_id, t.steps + 1 from t join lithograph_communities c on c.id = t.above where c.parent_id is not null) select * from t")
+    return m.spark.sql("with recursive t(id, above, steps) as (select id, parent_id, 1 from {tree} where parent_id is not null union all select t.id, c.parent_id, t.steps + 1 from t join {tree} c on c.id = t.above where c.parent_id is not null) select * from t", tree=m.communities)
 
 
 @query(
@@ -331,10 +333,8 @@ def _(m):
     "g_members",
 )
 def _(m):
-    from pyspark.sql import Window
-
     sizes = m.members.groupBy("community_id").agg(F.count("*").alias("size"), F.min("node_id").alias("label"))
-    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "label"))).drop("label")
+    return O.numbered(sizes.withColumn("less", -F.col("size")), ["less", "label"], "rank").select("community_id", "size", "rank")
 
 
 @query(
@@ -377,3 +377,61 @@ def _(m):
 def _(m):
     near = m.edges.where("target_id = 'p:42'").select(F.col("source_id").alias("id")).union(m.edges.where("source_id = 'p:42'").select("target_id")).union(m.nodes.where("id = 'p:42'").select("id")).distinct()
     return m.nodes.join(near, "id", "left_semi").select("id", "type", "name")
+
+
+@query(
+    "itr_04_undirected_expansion",
+    """, o AS (SELECT *, CASE type WHEN 'contains' THEN 0 WHEN 'routes_to' THEN 2 WHEN 'calls' THEN 3 WHEN 'references' THEN 4 END AS o FROM g_edges), b AS (SELECT source_id AS src, target_id AS dst, o, -confidence AS c, id AS e FROM o UNION ALL SELECT target_id, source_id, o, -confidence, id FROM o),
+h0 AS (SELECT 's:3' AS id, 0 AS hop, 1 AS place UNION ALL SELECT 'p:42', 0, 2),
+k1 AS (SELECT dst AS id, place, o, c, e, row_number() OVER (PARTITION BY dst ORDER BY place, o, c, e) AS rn FROM b JOIN h0 ON h0.id = src WHERE dst NOT IN (SELECT id FROM h0)),
+h1 AS (SELECT id, 1 AS hop, n AS place FROM (SELECT id, row_number() OVER (ORDER BY place, o, c, e) AS n FROM k1 WHERE rn = 1) WHERE n <= 118),
+k2 AS (SELECT dst AS id, place, o, c, e, row_number() OVER (PARTITION BY dst ORDER BY place, o, c, e) AS rn FROM b JOIN h1 ON h1.id = src WHERE dst NOT IN (SELECT id FROM h0 UNION SELECT id FROM h1)),
+h2 AS (SELECT id, 2 AS hop, n AS place FROM (SELECT id, row_number() OVER (ORDER BY place, o, c, e) AS n FROM k2 WHERE rn = 1) WHERE n <= 118 - (SELECT count(*) FROM h1))
+SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2""",
+    "g_edges",
+)
+def _(m):
+    roots = m.spark.createDataFrame([("s:3", 1), ("p:42", 2)], "id string, place int")
+    return G.expand_undirected(G.cut(m.edges), roots, 2, 120)
+
+
+@query("itr_07_affected_refs", ", n AS (SELECT id FROM g_nodes WHERE file_path LIKE 'lib/%/part_3.py' OR file_path LIKE 'src/n1/%') SELECT id AS ref FROM n UNION SELECT id FROM g_edges WHERE source_id IN (SELECT id FROM n) OR target_id IN (SELECT id FROM n)", "g_nodes", "g_edges")
+def _(m):
+    files = m.nodes.where("file_path like 'lib/%/part_3.py' or file_path like 'src/n1/%'").select("file_path")
+    return G.affected_refs(m.nodes, m.edges, files)
+
+
+@query("agg_20_set_stats", ", s AS (SELECT id FROM g_nodes WHERE id LIKE 'c:1%' OR id LIKE 'o:1%'), x AS (SELECT source_id IN (SELECT id FROM s) AS s, target_id IN (SELECT id FROM s) AS t FROM g_edges) SELECT count(*) FILTER (s AND t) AS inside, count(*) FILTER (NOT s AND t) AS incoming, count(*) FILTER (s AND NOT t) AS outgoing FROM x", "g_nodes", "g_edges")
+def _(m):
+    return G.set_stats(m.edges, m.nodes.where("id like 'c:1%' or id like 'o:1%'").select("id"))
+
+
+@query(
+    "itr_12_drilldown",
+    """, h AS (SELECT node_id AS id, min(community_id) AS c FROM g_members GROUP BY node_id), w AS (SELECT n.id, n.type, n.file_path FROM g_nodes n JOIN h ON h.id = n.id WHERE c = 'k:n3'), f AS (SELECT file_path, min(id) AS file_id FROM w WHERE type IN ('file', 'config') GROUP BY 1),
+v AS (SELECT w.id, CASE WHEN type IN ('class', 'function', 'method') THEN w.id ELSE coalesce(file_id, w.id) END AS shown FROM w LEFT JOIN f ON f.file_path = w.file_path)
+SELECT a.shown AS source, b.shown AS target, e.type, count(*) AS n, bool_or(e.is_inferred) AS inferred FROM g_edges e JOIN v a ON a.id = e.source_id JOIN v b ON b.id = e.target_id WHERE e.type <> 'contains' AND a.shown <> b.shown GROUP BY ALL ORDER BY n DESC, source, target, type LIMIT 140""",
+    "g_nodes", "g_members", "g_edges",
+)
+def _(m):
+    parents = m.members.groupBy(F.col("node_id").alias("id")).agg(F.min("community_id").alias("parent"))
+    top = m.communities.select("id", F.lit("directory").alias("type"), F.lit("").alias("file_path"))
+    return G.drilldown(m.nodes.select("id", "type", "file_path").unionByName(top), m.edges, parents, "k:n3")
+
+
+@query("itr_14_pruned", ", e AS (SELECT source_id AS a, target_id AS b FROM g_links WHERE type = 'contains'), t AS (SELECT id FROM (VALUES ('n:3'), ('r:1'), ('s:7')) v(id) UNION SELECT b FROM e JOIN t ON t.id = e.a) SELECT id FROM g_nodes WHERE id NOT IN (SELECT id FROM t)", "g_nodes", "g_links")
+def _(m):
+    up = m.links.where("type = 'contains'").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
+    parents = m.nodes.select("id").join(up, "id", "left")
+    return G.pruned(parents, m.spark.createDataFrame([("n:3",), ("r:1",), ("s:7",)], "id string"))
+
+
+@query("itr_14_highlights", ", x AS (SELECT 'p:42' AS id, 0 AS rank UNION ALL SELECT 's:3', 0 UNION ALL SELECT source_id, 1 FROM g_edges WHERE target_id IN ('p:42', 's:3') UNION ALL SELECT target_id, 1 FROM g_edges WHERE source_id IN ('p:42', 's:3')), y AS (SELECT id, min(rank) AS rank FROM x GROUP BY id) SELECT n.id, CASE rank WHEN 0 THEN 'selected' WHEN 1 THEN 'neighbour' ELSE 'faded' END AS state FROM g_nodes n LEFT JOIN y ON y.id = n.id", "g_nodes", "g_edges")
+def _(m):
+    return G.highlighted(m.nodes, m.edges, m.spark.createDataFrame([("p:42",), ("s:3",)], "id string"))
+
+
+@query("src_14_ordered_communities", "SELECT id, level, row_number() OVER (ORDER BY level, parent_id NULLS FIRST, name) AS place FROM g_communities", "g_communities")
+def _(m):
+    rows = m.communities.withColumn("above", F.coalesce("parent_id", F.lit("")))
+    return O.numbered(rows, ["level", "above", "name"], "place").select("id", "level", "place")

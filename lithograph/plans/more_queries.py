@@ -13,13 +13,12 @@ from lithograph.plans.registry import query
 
 @query("itr_08_communities")
 def _(m):
-    nodes = m.nodes.where("type in ('directory', 'file', 'class', 'interface', 'schema')")
-    edges = G.cut(m.links.where("type = 'contains' and source_id like 'n:%'"))
-    home = C.louvain(nodes.select("id"), edges, 2.0, 2, 4)
-    return home.groupBy("community").agg(F.count("*").alias("members"))
+    """The hierarchy of the whole graph, all edge types with their weights."""
+    communities, _members = C.hierarchy(m.nodes, G.cut(m.edges))
+    return communities
 
 
-BEST_SYMBOL_FOR_RANGE = """, r AS (SELECT p_partkey AS ref, 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey % 20 AS STRING) || '.py' AS file_path, CAST(p_partkey % 890 + 2 AS INT) AS s, CAST(p_partkey % 890 + 8 AS INT) AS e FROM part WHERE p_partkey % 10 = 3),
+BEST_SYMBOL_FOR_RANGE = """, r AS (SELECT p_partkey AS ref, 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey % 20 AS STRING) || '.py' AS file_path, CAST(p_partkey % 890 + 2 AS INT) AS s, CAST(p_partkey % 890 + 8 AS INT) AS e FROM part),
 x AS (SELECT ref, n.id, end_line - start_line AS span, start_line <= s AND e <= end_line AS holds, least(e, end_line) - greatest(s, start_line) + 1 AS shared, e - s + 1 AS own, end_line - start_line + 1 AS size FROM r JOIN g_nodes n ON n.file_path = r.file_path AND n.type = 'function' AND start_line <= e AND s <= end_line)
 SELECT ref, id, holds FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY holds DESC, CASE WHEN holds THEN span ELSE -shared END, id) AS rn FROM x WHERE holds OR (size <= 80 AND shared >= 3 AND (shared * 2 >= own OR shared * 4 >= size * 3))) WHERE rn = 1"""
 
@@ -36,16 +35,11 @@ def best_symbol_for_range(m, rows):
 
 
 @query("jn_11_best_symbol_for_range", BEST_SYMBOL_FOR_RANGE, "g_nodes")
-def _(m):
-    return best_symbol_for_range(m, m.part.where("p_partkey % 10 = 3"))
-
-
-@query("jn_11_best_symbol_for_range_all", BEST_SYMBOL_FOR_RANGE.replace(" WHERE p_partkey % 10 = 3", ""), "g_nodes")
 def _(m):
     return best_symbol_for_range(m, m.part)
 
 
-CITED_RANGES = ", c AS (SELECT id, file_path, start_line, end_line FROM g_nodes WHERE type = 'method'), q AS (SELECT o_orderkey AS cite, 'app/' || lower(o_orderstatus) || '/orders_' || CAST(o_orderkey % 60 AS STRING) || '.go' AS file_path, CAST(o_orderkey % 700 + 3 AS INT) AS s, CAST(o_orderkey % 700 + 9 AS INT) AS e FROM orders WHERE o_orderkey % 50 = 1) SELECT cite, count(*) AS chunks, min(c.id) AS first FROM q JOIN c ON c.file_path = q.file_path AND c.start_line <= q.s AND q.e <= c.end_line GROUP BY cite"
+CITED_RANGES = ", c AS (SELECT id, file_path, start_line, end_line FROM g_nodes WHERE type = 'method'), q AS (SELECT o_orderkey AS cite, 'app/' || lower(o_orderstatus) || '/orders_' || CAST(o_orderkey % 60 AS STRING) || '.go' AS file_path, CAST(o_orderkey % 700 + 3 AS INT) AS s, CAST(o_orderkey % 700 + 9 AS INT) AS e FROM orders) SELECT cite, count(*) AS chunks, min(c.id) AS first FROM q JOIN c ON c.file_path = q.file_path AND c.start_line <= q.s AND q.e <= c.end_line GROUP BY cite"
 
 
 def cited_ranges(m, rows):
@@ -56,16 +50,11 @@ def cited_ranges(m, rows):
 
 
 @query("jn_12_cited_ranges", CITED_RANGES, "g_nodes")
-def _(m):
-    return cited_ranges(m, m.orders.where("o_orderkey % 50 = 1"))
-
-
-@query("jn_12_cited_ranges_all", CITED_RANGES.replace(" WHERE o_orderkey % 50 = 1", ""), "g_nodes")
 def _(m):
     return cited_ranges(m, m.orders)
 
 
-NODE_OR_FILE = ", f AS (SELECT file_path, min(id) AS file_id FROM g_nodes WHERE type = 'file' GROUP BY 1) SELECT l_orderkey, l_linenumber, coalesce(n.id, f.file_id) AS node_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 20 = 0) l LEFT JOIN g_nodes n ON n.id = 'x:' || CAST(l_orderkey AS STRING) LEFT JOIN g_nodes s ON s.id = 's:' || CAST(l_suppkey AS STRING) LEFT JOIN f ON f.file_path = s.file_path"
+NODE_OR_FILE = ", f AS (SELECT file_path, min(id) AS file_id FROM g_nodes WHERE type = 'file' GROUP BY 1) SELECT l_orderkey, l_linenumber, coalesce(n.id, f.file_id) AS node_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) l LEFT JOIN g_nodes n ON n.id = 'x:' || CAST(l_orderkey AS STRING) LEFT JOIN g_nodes s ON s.id = 's:' || CAST(l_suppkey AS STRING) LEFT JOIN f ON f.file_path = s.file_path"
 
 
 def node_or_file(m, rows):
@@ -78,16 +67,11 @@ def node_or_file(m, rows):
 
 
 @query("jn_15_node_or_file", NODE_OR_FILE, "g_nodes")
-def _(m):
-    return node_or_file(m, m.lineitem.where("l_linenumber = 1 and l_orderkey % 20 = 0"))
-
-
-@query("jn_15_node_or_file_all", NODE_OR_FILE.replace(" WHERE l_linenumber = 1 AND l_orderkey % 20 = 0", ""), "g_nodes")
 def _(m):
     return node_or_file(m, m.lineitem)
 
 
-SUBSTRING_MATCH = "SELECT b.item_id AS term_id, count(*) AS nodes FROM (SELECT item_id, 'brand_' || CAST(item_id % 25 + 1 AS STRING) AS term FROM benchmark WHERE item_id < 12) b JOIN g_nodes n ON contains(n.file_path, b.term) GROUP BY b.item_id"
+SUBSTRING_MATCH = "SELECT b.item_id AS term_id, count(*) AS nodes FROM (SELECT item_id, 'brand_' || CAST(item_id % 25 + 1 AS STRING) AS term FROM benchmark) b JOIN g_nodes n ON contains(n.file_path, b.term) GROUP BY b.item_id"
 
 
 def substring_match(m, items):
@@ -100,11 +84,6 @@ def substring_match(m, items):
 
 
 @query("jn_09_substring_match", SUBSTRING_MATCH, "g_nodes")
-def _(m):
-    return substring_match(m, m.benchmark.where("item_id < 12"))
-
-
-@query("jn_09_substring_match_all", SUBSTRING_MATCH.replace(" WHERE item_id < 12", ""), "g_nodes")
 def _(m):
     return substring_match(m, m.benchmark)
 
@@ -165,19 +144,13 @@ def _(m):
     return capped(tally, "way", [F.desc("n"), F.col("other"), F.col("type")], 14).select("way", "other", "type", "n")
 
 
-@query("agg_25_unresolved", "SELECT doc_id, array_to_string(list_sort(list_filter([lang, source, 'en', 'src3'], lambda x: x NOT IN ('en', 'src3'))), ',') AS unresolved FROM documents")
-def _(m):
-    have = F.array(F.col("lang"), F.col("source"), F.lit("en"), F.lit("src3"))
-    return m.documents.select("doc_id", F.array_join(F.array_sort(F.array_except(have, F.array(F.lit("en"), F.lit("src3")))), ",").alias("unresolved"))
-
-
-@query("agg_27_grouped_refs", "SELECT source, min(doc_id) AS first, array_to_string(list_sort(list(CAST(doc_id AS STRING)))[1:20], ',') AS refs FROM documents WHERE doc_id % 9 = 0 GROUP BY source")
+@query("agg_25_unresolved", "SELECT source_id, target_id FROM g_edges WHERE type = 'references' AND target_id NOT IN (SELECT id FROM g_nodes WHERE file_path LIKE 'lib/brand_1%')", "g_nodes", "g_edges")
 def _(m):
-    rows = m.documents.where("doc_id % 9 = 0")
-    return rows.groupBy("source").agg(F.min("doc_id").alias("first"), F.array_join(F.slice(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), 1, 20), ",").alias("refs"))
+    known = m.nodes.where("file_path like 'lib/brand_1%'").select(F.col("id").alias("target_id"))
+    return m.edges.where("type = 'references'").join(known, "target_id", "left_anti").select("source_id", "target_id")
 
 
-@query("agg_27_grouped_refs_all", "SELECT source, doc_id AS ref, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
+@query("agg_27_grouped_refs", "SELECT source, doc_id AS ref, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents")
 def _(m):
     # dealt by ranges, so that a source of many refs is many tasks': a place is that in its range plus the refs before
     dealt = m.documents.select("source", F.col("doc_id").alias("ref")).repartitionByRange("source", "ref")
@@ -202,8 +175,9 @@ def _(m):
 
 @query("win_10_ordered_unique", "SELECT source, row_number() OVER (ORDER BY first) AS place FROM (SELECT source, min(doc_id) AS first FROM documents GROUP BY source)")
 def _(m):
-    first = m.documents.groupBy("source").agg(F.min("doc_id").alias("first"))
-    return first.select("source", F.row_number().over(Window.orderBy("first")).alias("place"))
+    from lithograph.operators.ordered import numbered
+
+    return numbered(m.documents.groupBy("source").agg(F.min("doc_id").alias("first")), ["first"], "place").select("source", "place")
 
 
 @query("win_15_reassembled", "SELECT conv_id, sha1(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS digest, count(*) AS turns FROM conversations GROUP BY conv_id")
@@ -216,13 +190,17 @@ def _(m):
 def _(m):
     dirty = m.customer.where("c_custkey % 97 = 0").select(F.concat(F.lit("k:n"), F.col("c_nationkey").cast("string")).alias("id")).distinct()
     up = m.communities.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
-    return G.reachable(up, dirty, 4).select("id")
+    return G.reachable(up, dirty).select("id")
 
 
-@query("str_05_stale_pages", "SELECT p.page_id, CASE WHEN d.change IS NULL THEN 'published' ELSE 'draft' END AS status FROM pages p LEFT JOIN (SELECT doc_id, 'x' AS change FROM documents WHERE doc_id % 13 = 0) d ON d.doc_id = p.page_id")
+@query("str_05_stale_pages", "SELECT page_id AS slug, CASE WHEN page_id % 40 IN (SELECT doc_id FROM documents WHERE doc_id % 13 = 0) OR page_id % 17 = 3 THEN 'draft' ELSE 'published' END AS status FROM pages")
 def _(m):
-    changed = m.documents.where("doc_id % 13 = 0").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("hit"))
-    return m.pages.join(changed, "page_id", "left").select("page_id", F.when(F.col("hit"), "draft").otherwise("published").alias("status"))
+    from lithograph.operators.incremental import stale_pages
+
+    path = lambda c: F.concat(F.lit("f/"), c.cast("string"))
+    pages = m.pages.select(F.col("page_id").alias("slug"), F.lit("published").alias("status"), F.array(path(F.col("page_id") % 40), F.lit("f/x")).alias("source_files"), F.array(F.concat(F.lit("ref"), (F.col("page_id") % 17).cast("string"))).alias("graph_refs"))
+    files = m.documents.where("doc_id % 13 = 0").select(path(F.col("doc_id")).alias("path"))
+    return stale_pages(pages, files, m.spark.createDataFrame([("ref3",), ("ref99",)], "ref string")).select("slug", "status")
 
 
 @query("flt_14_symbol_match", ", x AS (SELECT id, CASE WHEN id = 'customer7' THEN 0 WHEN lower(name) = 'customer7' THEN 1 WHEN ends_with(lower(name), 'customer7') THEN 2 WHEN contains(lower(name), 'customer7') THEN 3 END AS p FROM g_nodes) SELECT id FROM x WHERE p = (SELECT min(p) FROM x)", "g_nodes")
@@ -278,10 +256,10 @@ def _(m):
     return m.part.select("p_partkey", S.diagram_label(F.concat("p_name", F.lit(' "x" | y'))).alias("label"))
 
 
-@query("scl_17_redaction", "SELECT doc_id, contains(text, 'token = ') AS has_token FROM documents")
+@query("scl_17_redaction", "SELECT doc_id, 'key [redacted] Authorization: Bearer [redacted] api_key=[redacted], n' || CAST(doc_id AS STRING) AS text FROM documents")
 def _(m):
-    hidden = S.redacted(F.col("text"), 1 << 30)
-    return m.documents.select("doc_id", (F.contains("text", F.lit("token = ")) & ~F.contains(F.regexp_replace(hidden, "token = \\[redacted\\]", ""), F.lit("token = "))).alias("has_token"))
+    text = F.concat(F.lit("key sk-abcdefgh12345678 Authorization: Bearer abc.def-1 api_key=s3cr3t, n"), F.col("doc_id").cast("string"))
+    return m.documents.select("doc_id", S.redacted(text).alias("text"))
 
 
 @query("scl_19_json_in_text", "SELECT event_id, regexp_extract('noise ' || props || ' tail', '(?s)\\{.*\\}') AS found FROM events")
@@ -299,19 +277,32 @@ def _(m):
     return m.part.select("p_partkey", S.joined_route(F.lit("/api/"), F.concat(F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/"))).alias("route"))
 
 
-@query("gra_16_config_references", "SELECT doc_id, lang FROM documents WHERE regexp_matches(lower(source || '/' || lang), 'config|dotenv|env|process|settings')")
+#: What stands in code, and the configuration files of a repository.
+CONFIG_NAMED = ["app.settings", "env", "config/dev", "process.env", "plain", "getenv"]
+CONFIG_PATHS = [("config/dev.yaml", "runtime"), ("deploy/.env", "environment"), ("app/settings.py", "runtime"), ("package.json", "package_manifest")]
+CONFIG_SQL = f"""WITH v AS (SELECT doc_id AS "user", ([{', '.join(f"'{x}'" for x in CONFIG_NAMED)}])[doc_id % 6 + 1] AS v FROM documents), c(path, kind) AS (VALUES {', '.join(f"('{p}', '{k}')" for p, k in CONFIG_PATHS)})
+SELECT DISTINCT "user", path FROM v, c WHERE regexp_matches(v, 'config|dotenv|env|process|settings|load') AND (contains(path, v) OR len(list_filter(string_split(v, '/'), lambda x: x <> '' AND contains(path, x))) > 0 OR (contains(v, 'env') AND (ends_with(path, '.env') OR kind = 'environment')) OR (regexp_matches(v, 'config|settings') AND regexp_matches(path, 'config|settings')))"""
+
+
+@query("gra_16_config_uses", CONFIG_SQL)
 def _(m):
-    from lithograph.operators.ingest import is_config_reference
+    from lithograph.operators.ingest import config_uses
 
-    return m.documents.where(is_config_reference(F.concat_ws("/", "source", "lang"))).select("doc_id", "lang")
+    value = F.element_at(F.array(*map(F.lit, CONFIG_NAMED)), (F.col("doc_id") % 6 + 1).cast("int"))
+    configs = m.spark.createDataFrame(CONFIG_PATHS, "path string, kind string")
+    return config_uses(m.documents.select(F.col("doc_id").alias("user"), value.alias("value")), configs)
 
 
-@query("src_07_hash_reuse", ", o AS (SELECT path, sha FROM g_old), n AS (SELECT path, doc_id, content FROM g_files) SELECT count(*) FILTER (o.sha IS NOT NULL) AS reused, count(*) FILTER (o.sha IS NULL) AS hashed FROM n LEFT JOIN o ON o.path = n.path", "g_files", "g_old")
+@query("src_07_hash_reuse", "SELECT n.path, CASE WHEN o.path IS NOT NULL AND n.doc_id % 4 <> 0 AND n.doc_id % 6 <> 0 THEN 'known' ELSE sha1(n.content) END AS sha FROM g_files n LEFT JOIN g_old o ON o.path = n.path", "g_files", "g_old")
 def _(m):
-    rows = m.files.select("path", "content").join(m.old, "path", "left").select(F.coalesce("sha", F.sha1("content")).alias("sha"), F.col("sha").isNotNull().alias("known"))
-    return rows.agg(F.count_if("known").alias("reused"), F.count_if(~F.col("known")).alias("hashed"))
+    from lithograph.operators.ingest import hashed
+
+    k = F.col("doc_id")
+    known = m.old.select("path", F.lit("known").alias("sha")).join(m.files.select("path", F.length("content").alias("size"), F.when(k % 4 == 0, 1).otherwise(2).alias("mtime")), "path")
+    now = m.files.select("path", "content", F.length("content").alias("size"), F.lit(2).alias("mtime"))
+    return hashed(now, known, m.files.where("doc_id % 6 = 0").select("path"), F.sha1("content"))
 
 
-@query("src_08_last_change", "SELECT user_id, max(ts) AS last FROM events GROUP BY user_id")
+@query("evt_last_per_user", "SELECT user_id, max(ts) AS last FROM events GROUP BY user_id")
 def _(m):
     return m.events.groupBy("user_id").agg(F.max("ts").alias("last"))

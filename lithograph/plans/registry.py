@@ -12,6 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, for queries that store tables."""
+    import uuid
+
+    from lithograph.operators.graph import checkpoint_dir
+
+    return f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
 class Model:
     """The views of one run: model.nodes, model.edges and so on, lazily."""
 

@@ -10,7 +10,8 @@ from lithograph.operators import graph as G
 from lithograph.operators import ingest as I
 from lithograph.operators import ordered as O
 from lithograph.operators import search as R
-from lithograph.plans.registry import query
+from lithograph.operators import tables as T
+from lithograph.plans.registry import query, shared_folder
 
 TERMS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z_][a-z0-9_]*|[0-9]+')"
 QUERY = ["the", "and", "token"]
@@ -20,18 +21,19 @@ def chunks(m):
     return m.documents.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-INDEX = f", p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id), t AS (SELECT count(*) AS docs, avg(len) AS mean FROM l)"
-BM25 = f"{INDEX}, h AS (SELECT * FROM p WHERE term IN ('the', 'and', 'token')), f AS (SELECT term, count(*) AS df FROM h GROUP BY term), s AS (SELECT h.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS bm25 FROM h JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY h.doc_id)"
+INDEX = f", p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL)"
+#: By the definition of the text index that is matched: inverse document frequency ln((N - n + 0.5) / (n + 0.5)), at least a millionth.
+BM25 = f", d AS (SELECT doc_id, {TERMS} AS t FROM documents), s0 AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d), h AS (SELECT doc_id, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (VALUES ('the'), ('and'), ('token')) q(term)), f AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM h GROUP BY term), s AS (SELECT h.doc_id, sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS bm25 FROM h JOIN f USING (term), s0 WHERE tf > 0 GROUP BY h.doc_id)"
 
 
 @query("flt_07_chunk_bm25", "WITH x AS (SELECT 1)" + BM25 + " SELECT CAST(doc_id AS STRING) AS id, round(bm25, 6) AS bm25 FROM s")
 def _(m):
-    return R.bm25(R.postings(chunks(m), "id", "content"), QUERY).select("id", F.round("bm25", 6).alias("bm25"))
+    return R.bm25(chunks(m), "id", "content", QUERY).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("win_01_rank_position_scores", "WITH x AS (SELECT 1)" + BM25 + " SELECT id, position, CAST(round(greatest(0.1, 1 - 0.04 * (position - 1)), 4) AS DOUBLE) AS score FROM (SELECT CAST(doc_id AS STRING) AS id, row_number() OVER (ORDER BY round(bm25, 9) DESC, CAST(doc_id AS STRING)) AS position FROM s) WHERE position <= 20")
 def _(m):
-    hits = R.bm25(R.postings(chunks(m), "id", "content"), QUERY).withColumn("bm25", F.round("bm25", 9))
+    hits = R.bm25(chunks(m), "id", "content", QUERY).withColumn("bm25", F.round("bm25", 9))
     return R.by_position(hits, [F.desc("bm25"), F.col("id")], 20, 0.04).select("id", "position", F.col("score"))
 
 
@@ -94,7 +96,7 @@ def _(m):
     """, r AS (SELECT id, type, lower(name) AS n, lower(concat_ws(' ', name, type, file_path, language, id)) AS hay, len(list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z_][a-z0-9_]*|[0-9]+'), lambda w: w IN ('order_77', 'brand', 'customer7')))) AS shared FROM g_nodes),
 s AS (SELECT id, type, hay, greatest(CASE WHEN n = 'order_77 brand customer7' THEN 1.15 WHEN n IN ('order_77', 'brand', 'customer7') THEN 1.05 WHEN contains(hay, 'order_77 brand customer7') THEN 0.88 WHEN n <> '' AND contains('order_77 brand customer7', n) THEN 0.82 ELSE 0 END, CASE WHEN shared > 0 THEN 0.55 + 0.12 * shared ELSE 0 END) AS score FROM r),
 u AS (SELECT id, type, CASE WHEN score > 0 THEN score WHEN contains(hay, 'order_77') OR contains(hay, 'brand') OR contains(hay, 'customer7') THEN 0.42 ELSE 0 END AS score FROM s)
-SELECT id, round(CAST(least(score + CASE type WHEN 'endpoint' THEN 0.35 WHEN 'function' THEN 0.3 WHEN 'method' THEN 0.3 WHEN 'class' THEN 0.28 WHEN 'interface' THEN 0.25 WHEN 'schema' THEN 0.22 WHEN 'file' THEN 0.1 ELSE 0 END, 1.25) AS DOUBLE), 4) AS score FROM u WHERE score > 0""",
+SELECT id, round(CAST(least(score + CASE type WHEN 'endpoint' THEN 0.12 WHEN 'function' THEN 0.1 WHEN 'method' THEN 0.1 WHEN 'class' THEN 0.08 WHEN 'schema' THEN 0.08 WHEN 'file' THEN 0.04 WHEN 'module' THEN -0.1 ELSE 0 END, 1.25) AS DOUBLE), 4) AS score FROM u WHERE score > 0""",
     "g_nodes",
 )
 def _(m):
@@ -148,7 +150,12 @@ def _(m):
     return R.freshness(rows, "stamp").select("o_orderkey", F.round("freshness", 6).alias("freshness"))
 
 
-@query("agg_14_token_budget")
+@query(
+    "agg_14_token_budget",
+    """WITH RECURSIVE r AS (SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r\\x0b]+'))) AS tokens, row_number() OVER (ORDER BY length(text) DESC NULLS LAST, doc_id) AS rn FROM documents),
+p AS (SELECT CAST(0 AS BIGINT) AS rn, 0 AS taken, CAST(8000 AS BIGINT) AS room, CAST(NULL AS BIGINT) AS doc_id, false AS got UNION ALL SELECT r.rn, taken + CASE WHEN taken < 20 AND tokens <= room THEN 1 ELSE 0 END, room - CASE WHEN taken < 20 AND tokens <= room THEN tokens ELSE 0 END, r.doc_id, taken < 20 AND tokens <= room FROM p JOIN r ON r.rn = p.rn + 1)
+SELECT taken AS rank, doc_id FROM p WHERE got""",
+)
 def _(m):
     rows = m.documents.select("doc_id", S.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"), F.length("text").alias("n"))
     return R.packed(rows, "doc_id", [F.desc("n"), F.col("doc_id")], "tokens", 8000, 20)
@@ -180,10 +187,26 @@ def _(m):
     return O.suffixed(m.part.select("p_partkey", S.slug(F.col("p_name")).alias("slug")), "slug", "p_partkey").select("p_partkey", "unique_slug")
 
 
-@query("win_13_preorder", "SELECT id, level AS depth FROM g_communities", "g_communities")
+def community_tree(m):
+    return m.communities.withColumn("ord", F.regexp_extract("id", "(\\d+)", 1).cast("int"))
+
+
+PREORDER = ", t AS (SELECT id, parent_id, lpad(regexp_extract(id, '(\\d+)', 1), 10, '0') AS own FROM g_communities), r AS (SELECT id, 0 AS depth, own AS path FROM t WHERE parent_id IS NULL UNION ALL SELECT t.id, depth + 1, path || '/' || own FROM t JOIN r ON r.id = t.parent_id)"
+
+
+@query("win_13_preorder", PREORDER + " SELECT id, depth, path FROM r", "g_communities")
+def _(m):
+    return O.preorder(community_tree(m))
+
+
+@query("win_14_within_budget", PREORDER + " SELECT id, depth FROM r ORDER BY path LIMIT 13", "g_communities")
 def _(m):
-    tree = m.communities.withColumn("ord", F.regexp_extract("id", "(\\d+)", 1).cast("int"))
-    return O.preorder(tree).select("id", "depth")
+    return O.within_budget(community_tree(m), 13).select("id", "depth")
+
+
+@query("win_16_visible_rows", PREORDER + " SELECT id, depth FROM r WHERE depth = 0 OR NOT starts_with(path, '0000000001/')", "g_communities")
+def _(m):
+    return O.preorder(community_tree(m), F.col("id") != "k:r1").select("id", "depth")
 
 
 @query("win_12_budget_chunks")
@@ -213,9 +236,11 @@ def _(m):
     return m.files.groupBy(S.extension(F.col("path")).alias("ext"), lang.alias("lang"), P.is_source(lang).alias("source")).agg(F.count("*").alias("n"))
 
 
-@query("src_05_binary", "SELECT doc_id FROM documents WHERE instr(substr(text, 1, 4096), chr(0)) > 0")
+@query("src_05_binary", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL OR doc_id % 7 = 1 AND length(text) < 4096")
 def _(m):
-    return m.documents.where(P.is_binary(F.col("text"))).select("doc_id")
+    # a NUL in front is found; one at the end only in texts that end within the first 4096 characters
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\0"), "text")).when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    return m.documents.where(P.is_binary(text)).select("doc_id")
 
 
 @query(
@@ -227,14 +252,19 @@ def _(m):
     return I.directories(m.files).withColumn("depth", F.col("depth").cast("long"))
 
 
-@query(
-    "gra_03_config_files",
-    "SELECT path, CASE WHEN regexp_matches(lower(split_part(path, '/', -1)), 'eslint|prettier|ruff|mypy|pytest|tox') THEN 'tooling' ELSE 'runtime' END AS kind, 'config_directory' AS reason, CAST(0.85 AS DOUBLE) AS confidence FROM (SELECT replace(path, 'doc/', 'config/') AS path FROM g_files) WHERE path LIKE '%.json'",
-    "g_files",
-)
+#: A path for each rung of the ladder, and what it is.
+CONFIG_CASES = [
+    ("svc/Dockerfile", "build", "known_filename", 1.0), ("go.mod", "package_manifest", "known_filename", 1.0), ("a/.env.test", "environment", "env_filename", 1.0), ("web/x.config.mts", "tooling", "config_suffix", 0.95),
+    ("app/settings.py", "runtime", "config_stem", 0.9), ("config/pytest-a.yaml", "tooling", "config_directory", 0.85), ("deploy/my-config.json", "runtime", "name_heuristic", 0.8), ("main.py", None, None, None), ("compose.yml", "build", "known_filename", 1.0), ("sub/.gitignore", "runtime", "known_filename", 1.0),
+]
+CONFIG_VALUES = ", ".join(f"({i}, '{c[0]}', " + (f"'{c[1]}', '{c[2]}', CAST({c[3]} AS DOUBLE))" if c[1] else "NULL, NULL, NULL)") for i, c in enumerate(CONFIG_CASES))
+
+
+@query("gra_03_config_files", f"SELECT doc_id, path, kind, reason, confidence FROM documents JOIN (VALUES {CONFIG_VALUES}) c(i, path, kind, reason, confidence) ON i = doc_id % 10 WHERE kind IS NOT NULL")
 def _(m):
-    moved = m.files.select(F.replace("path", F.lit("doc/"), F.lit("config/")).alias("path"))
-    return moved.withColumn("c", I.config_class(F.col("path"), P.language(F.col("path")))).where("c is not null").select("path", "c.kind", "c.reason", "c.confidence")
+    paths = F.element_at(F.array(*[F.lit(c[0]) for c in CONFIG_CASES]), (F.col("doc_id") % 10 + 1).cast("int"))
+    rows = m.documents.select("doc_id", paths.alias("path"))
+    return rows.withColumn("c", I.config_class(F.col("path"), P.language(F.col("path")))).where("c is not null").select("doc_id", "path", "c.kind", "c.reason", "c.confidence")
 
 
 @query(
@@ -260,9 +290,40 @@ def _(m):
     return I.upserted(m.old, m.new, ["path"])
 
 
-@query("snk_02_chunk_sync", "SELECT path FROM g_old WHERE path NOT IN (SELECT path FROM g_new)", "g_files", "g_old", "g_new")
+def stored_path(m):
+    return f"{shared_folder(m.spark)}/rows"
+
+
+@query("snk_02_synced_table", "SELECT path, sha FROM g_new", "g_files", "g_old", "g_new")
+def _(m):
+    path = stored_path(m)
+    T.replaced(m.old, path, "main")
+    T.synced(m.spark, m.new, path, "main", "path", ["sha"])
+    return T.stored(m.spark, path, "main", m.new.schema)
+
+
+@query("snk_01_emptied_table", "SELECT path, sha FROM g_old WHERE false", "g_files", "g_old")
+def _(m):
+    path = stored_path(m)
+    T.replaced(m.old, path, "main")
+    T.synced(m.spark, m.old.limit(0), path, "main", "path")
+    return T.stored(m.spark, path, "main", m.old.schema)
+
+
+@query("snk_05_classified_rows", "SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'stale' WHEN o.sha = n.sha THEN 'kept' ELSE 'changed' END AS change FROM g_old o FULL JOIN g_new n ON o.path = n.path", "g_files", "g_old", "g_new")
 def _(m):
-    return m.old.join(m.new, "path", "left_anti").select("path")
+    return T.classified(m.old, m.new, "path", ["sha"])
+
+
+@query("snk_03_replaced_for_files", "SELECT path AS file_path, sha FROM g_old WHERE path NOT IN (SELECT path FROM g_files WHERE doc_id % 13 = 0) UNION ALL SELECT path, 'new' FROM g_files WHERE doc_id % 13 = 0", "g_files", "g_old")
+def _(m):
+    files = m.files.where("doc_id % 13 = 0").select(F.col("path").alias("file_path"))
+    return T.replaced_for_files(m.old.withColumnRenamed("path", "file_path"), files.withColumn("sha", F.lit("new")), files)
+
+
+@query("snk_09_pages_not_in", "SELECT page_id AS slug FROM pages WHERE page_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(m):
+    return T.without_others(m.pages.select(F.col("page_id").alias("slug")), m.documents.where("lang = 'en'").select(F.col("doc_id").alias("slug")))
 
 
 @query(
@@ -292,11 +353,10 @@ def _(m):
     return I.resolved_calls(calls, symbols, scopes)
 
 
-@query("gra_07_resolved_imports")
+@query("gra_07_resolved_imports", "SELECT path, './' || CAST(doc_id AS STRING) AS name, path AS target FROM g_files WHERE doc_id % 5 IN (1, 4)", "g_files")
 def _(m):
-    files = m.files.where("path like '%.py'").select("path")
-    names = files.select("path", F.concat(F.lit("./"), F.regexp_replace(S.base_name(F.col("path")), "\\.py$", "")).alias("name"))
-    return I.resolved_imports(names, files)
+    names = m.files.select("path", F.concat(F.lit("./"), F.col("doc_id").cast("string")).alias("name"))
+    return I.resolved_imports(names, m.files.select("path"))
 
 
 @query(
@@ -340,9 +400,16 @@ def _(m):
     return m.documents.agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
 
 
-@query("agg_26_first_by_order", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
+@query("agg_26_first_by_order", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1")
 def _(m):
-    return m.documents.groupBy("source", "lang").agg(F.min("doc_id").alias("doc_id"))
+    rows = m.lineitem.select("l_partkey", "l_suppkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("x"))
+    return rows.groupBy("l_partkey", "l_suppkey").agg(F.min("x").alias("x")).select("l_partkey", "l_suppkey", "x.l_orderkey", "x.l_linenumber")
+
+
+@query("set_01_first_wins", "SELECT doc_id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT page_id, 'page' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels UNION SELECT doc_id FROM documents)")
+def _(m):
+    one = lambda df, c, n: df.select(F.col(c).alias("doc_id"), F.lit(n).alias("origin"))
+    return R.first_of([one(m.labels, "doc_id", "label"), one(m.documents, "doc_id", "document"), one(m.pages, "page_id", "page")], "doc_id")
 
 
 @query("set_ops", "(SELECT doc_id, 'both' AS kind FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'unlabelled' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels))")
@@ -377,11 +444,10 @@ def _(m):
     return m.pages.select("page_id", S.web_base(F.col("url")).alias("base"))
 
 
-@query("scl_11_citations", "SELECT doc_id, array_to_string(list_distinct(regexp_extract_all('see [[S' || CAST(doc_id % 9 AS STRING) || ']] and [[S1]] or [[X]]', '\\[\\[(S\\d+)\\]\\]', 1)), ',') IN ('S1', 'S1,S' || CAST(doc_id % 9 AS STRING), 'S' || CAST(doc_id % 9 AS STRING) || ',S1') AS ok, CASE WHEN doc_id % 9 = 1 THEN 1 ELSE 2 END AS n FROM documents")
+@query("scl_11_citations", "SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'S1' ELSE 'S' || CAST(doc_id % 9 AS STRING) || ',S1' END AS ids FROM documents")
 def _(m):
-    text = F.concat(F.lit("see [[S"), (F.col("doc_id") % 9).cast("string"), F.lit("]] and [[S1]] or [[X]]"))
-    c = S.citations(text)
-    return m.documents.select("doc_id", F.array_contains(c, F.lit("S1")).alias("ok"), F.size(c).alias("n"))
+    text = F.concat(F.lit("see [[S"), (F.col("doc_id") % 9).cast("string"), F.lit("]] and [[S1]] or [[X]] [S5] [[S1]]"))
+    return m.documents.select("doc_id", F.array_join(S.citations(text), ",").alias("ids"))
 
 
 @query("scl_24_rounding", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round_even(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY l_returnflag")
@@ -402,3 +468,60 @@ def _(m):
 @query("evt_sessions", "WITH x AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events), y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s")
 def _(m):
     return m.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("flt_08_like_hits", "SELECT id, CASE WHEN contains(lower(file_path), 'brand_12') THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS score FROM g_chunks WHERE contains(lower(file_path), 'brand_12') OR contains(lower(content), 'brand_12') ORDER BY score DESC, file_path, start_line, id LIMIT 25", "g_chunks")
+def _(m):
+    return R.like_hits(m.chunks, "brand_12", 25).select("id", "score")
+
+
+@query("flt_09_all_terms", f"SELECT doc_id FROM documents WHERE list_has_all({TERMS}, ['the', 'and'])")
+def _(m):
+    return R.all_terms(m.documents.where("text is not null"), "text", ["the", "and"]).select("doc_id")
+
+
+@query("flt_12_vec_05_embedding_text", "SELECT id, file_path || ':' || CAST(start_line AS STRING) || '-' || CAST(end_line AS STRING) || chr(10) || content AS text FROM g_chunks", "g_chunks")
+def _(m):
+    from lithograph.operators.build import embedding_text
+
+    return embedding_text(m.chunks.withColumn("content_hash", F.lit(""))).select("id", "text")
+
+
+@query("src_13_chunks_by_nodes", "SELECT id, file_path, start_line FROM g_chunks WHERE node_id IN (SELECT id FROM g_nodes WHERE type = 'function' AND start_line < 40)", "g_nodes", "g_chunks")
+def _(m):
+    ids = m.nodes.where("type = 'function' and start_line < 40").select(F.col("id").alias("node_id"))
+    return m.chunks.join(ids, "node_id", "left_semi").select("id", "file_path", "start_line")
+
+
+@query("src_20_first_running", "SELECT event_id, task FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS rn FROM g_runs WHERE status = 'failed') WHERE rn = 1", "g_runs")
+def _(m):
+    return m.runs.where("status = 'failed'").groupBy("user_id").agg(F.min_by(F.struct("event_id", "task"), F.struct("created_at", "event_id")).alias("x")).select("x.*")
+
+
+@query("scl_12_markdown_faults", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'no first heading,no section' WHEN 2 THEN 'another title' ELSE 'no section' END AS faults FROM documents")
+def _(m):
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, "# Page\n\n## Part\ntext").when(k == 1, "text\n### Deep").when(k == 2, "# Other\n\n## Part").otherwise("# Page\ntext")
+    return m.documents.select("doc_id", F.array_join(S.markdown_faults(text, F.lit("Page")), ",").alias("faults"))
+
+
+@query("scl_14_source_lines", "SELECT doc_id, 'a' || chr(10) || '```' || chr(10) || 'Sources: kept' || chr(10) || '```' || chr(10) || chr(10) || CAST(doc_id AS STRING) AS text FROM documents")
+def _(m):
+    text = F.concat(F.lit("a\nSources: [[S1]]\n```\nSources: kept\n```\n\n\n\n"), F.col("doc_id").cast("string"), F.lit("\n**Sources:** x\n"))
+    return m.documents.select("doc_id", S.without_source_lines(text).alias("text"))
+
+
+@query("scl_18_canonical_json", "SELECT p_partkey, sha256('{\"a\": ' || CAST(p_partkey AS STRING) || ', \"b\": \"' || p_name || '\"}') AS digest FROM part")
+def _(m):
+    return m.part.select("p_partkey", F.sha2(S.canonical_json({"b": F.col("p_name"), "a": F.col("p_partkey")}).cast("binary"), 256).alias("digest"))
+
+
+@query("scl_20_generic_names", "SELECT doc_id, doc_id % 3 <> 2 AS generic FROM documents")
+def _(m):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('"Community '), F.col("doc_id").cast("string"), F.lit('"'))).when(F.col("doc_id") % 3 == 1, F.lit(" module  ")).otherwise(F.lit("Module of retrieval"))
+    return m.documents.select("doc_id", S.is_generic_name(name).alias("generic"))
+
+
+@query("scl_21_test_globs", "SELECT path, path LIKE 'doc/en/%.py' AS hit FROM g_files", "g_files")
+def _(m):
+    return m.files.select("path", P.is_test_by(F.col("path"), "doc/en/**/*.py").alias("hit"))

@@ -28,6 +28,7 @@ UNION ALL SELECT 'c:' || CAST(o_custkey AS STRING), 'o:' || CAST(o_orderkey AS S
 UNION ALL SELECT 'o:' || CAST(l_orderkey AS STRING), 'p:' || CAST(l_partkey AS STRING), 'calls', CASE WHEN l_returnflag = 'R' THEN 0.5E0 WHEN l_linestatus = 'O' THEN 0.9E0 ELSE 0.95E0 END, CAST(l_quantity AS DOUBLE), l_returnflag = 'R', l_orderkey * 10 + l_linenumber FROM lineitem
 UNION ALL SELECT 's:' || CAST(l_suppkey AS STRING), 'p:' || CAST(l_partkey AS STRING), 'references', CASE WHEN l_returnflag = 'N' THEN 0.9E0 ELSE 0.5E0 END, 1.0E0, l_returnflag <> 'N', l_orderkey * 10 + l_linenumber FROM lineitem) x""",
     "g_files": "SELECT 'doc/' || lang || '/' || source || '/' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.py' WHEN 2 THEN '.test.js' WHEN 3 THEN '.json' ELSE '' END AS path, doc_id, lang AS language, text AS content FROM documents",
+    "g_chunks": "SELECT 'k:' || CAST(p_partkey AS STRING) AS id, 'p:' || CAST(p_partkey AS STRING) AS node_id, 'lib/' || lower(replace(p_brand, '#', '_')) || '/part_' || CAST(p_partkey % 20 AS STRING) || '.py' AS file_path, CAST(p_partkey % 900 + 1 AS INT) AS start_line, CAST(p_partkey % 900 + 1 + p_size AS INT) AS end_line, p_name || ' ' || p_type AS content, CAST(3 + p_partkey % 40 AS INT) AS token_count, CAST(p_size AS DOUBLE) AS stamp FROM part",
     "g_communities": """
 SELECT 'k:r' || CAST(r_regionkey AS STRING) AS id, r_name AS name, 0 AS level, CAST(NULL AS STRING) AS parent_id FROM region
 UNION ALL SELECT 'k:n' || CAST(n_nationkey AS STRING), n_name, 1, 'k:r' || CAST(n_regionkey AS STRING) FROM nation""",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lithograph.operators.graph import cut
 from lithograph.operators.ingest import snapshot_diff
 
 
@@ -36,23 +37,34 @@ def deduplicated(events: DataFrame, late: str = "30 minutes") -> DataFrame:
     return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def watch(snapshots: DataFrame, state: str, checkpoint: str, on_plan: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
-    """Diffs each micro-batch of snapshots(path, sha) with the state before it.
+def watch(snapshots: DataFrame, state: str, checkpoint: str, on_plan: Callable[[DataFrame, int], None], once: bool = True, settle: bool = False) -> StreamingQuery:
+    """Diffs snapshots(path, sha) with the state before them.
 
-    ``state``: a folder with one Parquet table a batch; the newest before a batch is its old state.
+    A column ``snapshot`` (numbers that rise) tells apart the snapshots of one micro-batch, which are
+    then planned one after the other; without it a micro-batch is one snapshot. ``settle``: of the
+    snapshots that came together only the last is planned, against the state before all of them; what
+    was changed and changed back is then no change. ``state``: a folder with one Parquet table a batch;
+    the newest one before a batch is its old state, whichever batches left one.
     ``once``: catch up on what is there and end; else poll every five seconds.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("path").agg(F.max("sha").alias("sha"))
-        fs = spark._jvm.org.apache.hadoop.fs.Path(state).getFileSystem(spark._jsc.hadoopConfiguration())
-        path = lambda n: f"{state}/batch={n}"
-        exists = lambda n: n >= 0 and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path(n)))
-        old = spark.read.parquet(path(number - 1)) if exists(number - 1) else new.limit(0)
-        plan = snapshot_diff(old, new)
-        on_plan(plan.where("change <> 'unchanged'"), number)
-        new.write.mode("overwrite").parquet(path(number))
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        fs = make(state).getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(make(state))] if fs.exists(make(state)) else []
+        before = max((n for n in done if n < number), default=None)
+        rows = batch if "snapshot" in batch.columns else batch.withColumn("snapshot", F.lit(0))
+        rows = cut(rows.groupBy("snapshot", "path").agg(F.max("sha").alias("sha")))
+        new = rows.select("path", "sha").limit(0)
+        old = new if before is None else spark.read.schema(new.schema).parquet(f"{state}/batch={before}")
+        numbers = [r["snapshot"] for r in rows.select("snapshot").distinct().orderBy("snapshot").collect()]
+        for n in numbers[-1:] if settle else numbers:
+            new = rows.where(F.col("snapshot") == n).select("path", "sha")
+            on_plan(snapshot_diff(old, new).where("change <> 'unchanged'"), number)
+            old = new
+        if numbers:
+            new.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     writer = snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()

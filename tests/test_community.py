@@ -17,13 +17,56 @@ def test_louvain_finds_planted_groups(spark):
     assert C.louvain(nodes, edges.limit(0)).where("id <> community").count() == 0
 
 
+def planted(spark, groups, size):
+    names = [f"g{g:02d}n{i:03d}" for g in range(groups) for i in range(size)]
+    nodes = spark.createDataFrame([(n, "function", f"{n[:3]}/f{int(n[4:]) % 40}.py") for n in names], "id string, type string, file_path string")
+    links = [(f"g{g:02d}n{i:03d}", f"g{g:02d}n{(i * 7 + k) % size:03d}", "calls") for g in range(groups) for i in range(size) for k in (1, 2, 3)]
+    links += [(f"g{g:02d}n000", f"g{g + 1:02d}n001", "references") for g in range(groups - 1)]
+    edges = spark.createDataFrame([(a, b, t, 1.0) for a, b, t in links if a != b], "source_id string, target_id string, type string, confidence double")
+    return nodes, edges
+
+
+def test_hierarchy(spark):
+    nodes, edges = planted(spark, 5, 40)
+    other = spark.createDataFrame([("iface", "interface", "x.ts")], "id string, type string, file_path string")
+    communities, members = C.hierarchy(nodes.unionByName(other), edges)
+    rows = {(r["key"], r["level"]): r for r in communities.collect()}
+    inside = {}
+    for r in members.collect():
+        inside.setdefault((r["key"], r["level"]), set()).add(r["id"])
+    assert set(inside) == set(rows) and all(len(inside[k]) == rows[k]["size"] and min(inside[k]) <= k[0] for k in rows)
+    tops = [k for k in rows if k[1] == 0]
+    assert set().union(*(inside[k] for k in tops)) == {r["id"] for r in nodes.collect()} and len(rows) <= C.MOST_IN_ALL
+    for key, level in rows:
+        if level:  # each lies within its parent, and a parent has 12 children or 8 details at most
+            above = (rows[key, level]["parent_key"], level - 1)
+            assert inside[key, level] <= inside[above]
+            assert len([1 for k in rows if k[1] == level and rows[k]["parent_key"] == above[0]]) <= (12 if level == 1 else 8)
+    assert all(rows[k]["size"] >= C.LEAST_CHILD for k in rows if k[1] == 1)
+    alone, _ = C.hierarchy(nodes.limit(1), edges.limit(0))
+    assert [(r["level"], r["size"]) for r in alone.collect()] == [(0, 1)]
+
+
+def test_rounds_over_halves(spark, monkeypatch):
+    nodes, edges = planted(spark, 2, 8)
+    weighted = edges.withColumn("weight", F.lit(1.0))
+    monkeypatch.setattr(C, "LOCAL", 0)
+    home = C.louvain(nodes.select("id"), weighted, levels=1, rounds=4)
+    assert home.count() == 16 and home.select("community").distinct().count() < 16
+
+
 def test_stored_tables(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = lambda *x: spark.createDataFrame([(i, n) for i, n in x], "id string, n int")
     T.replaced(rows(("a", 1), ("b", 1)), path, "one")
     T.replaced(rows(("z", 9)), path, "two")
-    assert T.synced(spark, rows(("b", 2), ("c", 2)), path, "one", "id") == {"kept": 1, "added": 1, "dropped": 1}
-    assert {(r["id"], r["n"]) for r in T.stored(spark, path, "one").collect()} == {("b", 1), ("c", 2)}
+    schema = rows(("a", 1)).schema
+    stored = lambda repo: {(r["id"], r["n"]) for r in T.stored(spark, path, repo, schema).collect()}
+    assert T.synced(spark, rows(("b", 2), ("c", 2)), path, "one", "id") == {"kept": 1, "new": 1, "changed": 0, "stale": 1}
+    assert stored("one") == {("b", 1), ("c", 2)}
+    assert T.synced(spark, rows(("b", 2), ("c", 2)), path, "one", "id", ["n"])["changed"] == 1 and stored("one") == {("b", 2), ("c", 2)}
+    assert T.synced(spark, rows(("a", 1)).limit(0), path, "one", "id")["stale"] == 2 and stored("one") == set()
+    T.replaced(rows(("a", 1)), path, "one")
     T.dropped(spark, [path], "one")
-    assert [r["id"] for r in T.stored(spark, path, "two").collect()] == ["z"]
+    assert stored("one") == set() and stored("two") == {("z", 9)}
     assert T.evolved(rows(("a", 1)), {"n": "0", "status": "'draft'"}).first()["status"] == "draft"

@@ -96,7 +96,7 @@ def test_import_candidates(spark, name, path, first):
 
 
 def test_config_ladder(spark):
-    for path, lang, want in (("package.json", "json", ("package_manifest", 1.0)), (".env.local", "dotenv", ("environment", 1.0)), ("vite.config.ts", "typescript", ("tooling", 0.95)), ("settings.py", "python", ("runtime", 0.9)), ("config/a.yaml", "yaml", ("runtime", 0.85)), ("my-config.json", "json", ("runtime", 0.8)), ("main.py", "python", None)):
+    for path, lang, want in (("package.json", "json", ("package_manifest", 1.0)), (".env.local", "dotenv", ("environment", 1.0)), ("vite.config.ts", "typescript", ("runtime", 1.0)), ("my.config.ts", "typescript", ("tooling", 0.95)), ("settings.py", "python", ("runtime", 0.9)), ("config/a.yaml", "yaml", ("runtime", 0.85)), ("my-config.json", "json", ("runtime", 0.8)), ("main.py", "python", None), ("a/Dockerfile", "dockerfile", ("build", 1.0)), ("go.mod", "go-mod", ("package_manifest", 1.0)), ("x.config.cts", "typescript", ("tooling", 0.95))):
         got = one(spark, I.config_class(F.col("p"), F.col("l")), p=path, l=lang)
         assert (got and (got["kind"], got["confidence"])) == want
 
@@ -116,6 +116,63 @@ def test_budget_chunks_keep_fences(spark):
     assert got == ["intro", "```\na\n\nb\n```", "tail"]
 
 
+def test_deep_trees_and_order(spark):
+    rows = [("n0", None, 0, True)] + [(f"n{i}", f"n{i - 1}", 0, i != 20) for i in range(1, 25)] + [("side", "n0", 1, True)]
+    tree = spark.createDataFrame(rows, "id string, parent_id string, ord int, open boolean")
+    got = [(r["id"], r["depth"]) for r in O.preorder(tree).orderBy("path").collect()]
+    assert got == [(f"n{i}", i) for i in range(25)] + [("side", 1)]
+    assert [r["id"] for r in O.preorder(tree, F.col("open")).orderBy("path").collect()] == [f"n{i}" for i in range(21)] + ["side"]
+    assert [r["id"] for r in O.within_budget(tree, 3).orderBy("path").collect()] == ["n0", "n1", "n2"]
+    chain = tree.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
+    assert G.reachable(chain, spark.createDataFrame([("n24",)], "id string")).count() == 25
+    numbers = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    assert all(r["v"] + 1 == r["place"] for r in O.numbered(numbers.repartition(5), ["v"], "place").collect())
+
+
+def test_large_blocks_are_split(spark):
+    df = spark.createDataFrame([(1, "aaaa\nbbbb\ncccc\n\nd\n\n" + "e" * 25)], "id long, text string")
+    got = [r["content"] for r in O.budget_chunks(df, "id", "text", 10).orderBy("chunk").collect()]
+    assert got == ["aaaa\nbbbb", "cccc\n\nd", "e" * 10, "e" * 10, "e" * 5]
+
+
+def test_bm25_clamps_frequent_terms(spark):
+    df = spark.createDataFrame([("a", "the cat"), ("b", "the dog dog"), ("c", "the"), ("d", ""), ("e", None)], "id string, text string")
+    got = {r["id"]: r["bm25"] for r in R.bm25(df.fillna(""), "id", "text", ["the", "dog"]).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"] > 0.5 and 0 < got["a"] < 1e-5
+    assert R.bm25(df.fillna(""), "id", "text", []).count() == 0
+
+
+def test_expansion_in_order_of_discovery(spark):
+    _, e = graph(spark, [("a", "b", "calls", 0.9), ("c", "a", "contains", 1.0), ("a", "d", "calls", 1.0), ("b", "x", "calls", 1.0), ("c", "y", "calls", 1.0)])
+    got = [r["id"] for r in G.expand_undirected(e, spark.createDataFrame([("a", 1)], "id string, place int"), 2, 6).orderBy("hop", "place").collect()]
+    assert got == ["a", "c", "d", "b", "y", "x"]
+    assert G.expand_undirected(e, spark.createDataFrame([("a", 1)], "id string, place int"), 2, 3).count() == 3
+
+
+def test_retrieval(spark):
+    from lithograph.operators import retrieve as V
+
+    n, e = graph(spark, [("load_user", "open_db", "calls", 0.95), ("open_db", "close_db", "calls", 0.9), ("test_it", "load_user", "calls", 1.0)])
+    n = n.withColumn("file_path", F.when(F.col("id") == "test_it", "tests/test_it.py").otherwise(F.col("file_path")))
+    chunks = n.select(F.concat(F.lit("k-"), "id").alias("id"), F.col("id").alias("node_id"), "file_path", "start_line", "end_line", F.concat(F.lit("def "), "name").alias("content"), F.when(F.col("id") == "close_db", 9000).otherwise(5).alias("token_count"), F.lit(None).cast("double").alias("stamp"))
+    trace = V.retrieve(n, e, chunks, "load_user")
+    nodes = {r["id"]: r["hop"] for r in trace.nodes.collect()}
+    assert nodes["load_user"] == 0 and nodes["open_db"] <= 1 and "test_it" not in nodes
+    picked = [r["id"] for r in trace.chunks.orderBy("rank").collect()]
+    assert picked[0] == "k-load_user" and "k-close_db" not in picked and "k-test_it" not in picked  # too long; a test
+    assert "def load_user" in V.context_pack(trace).first()["text"] and V.trace_id("m", trace).first()["id"].startswith("m:trace:")
+    assert [r["relation"] for r in V.node_context(n, e, n.where("id = 'open_db'").select("id")).collect()] == ["node", "caller", "callee"]
+
+
+def test_greedy_picks(spark):
+    from lithograph.operators import wiki as W
+
+    rows = spark.createDataFrame([("a", "b", 9.0), ("c", "d", 8.0), ("a", "c", 7.0), ("b", "a", 6.0)], "s string, t string, score double")
+    got = [(r["s"], r["t"]) for r in W.picked(rows, [F.desc("score")], "s", "t", 3, 3).orderBy("place").collect()]
+    assert got == [("a", "b"), ("a", "c"), ("b", "a")]
+    assert [(r["s"], r["t"]) for r in W.picked(rows, [F.desc("score")], "s", "t", 3, 3, page=2).orderBy("place").collect()][0] == ("a", "b")
+
+
 def test_community_dependencies(spark):
     c = spark.createDataFrame([("p", "P", 0, None), ("A", "A", 1, "p"), ("B", "B", 1, "p")], "id string, name string, level int, parent_id string")
     m = spark.createDataFrame([("p", "a"), ("p", "b"), ("A", "a"), ("B", "b")], "community_id string, node_id string")
