@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as
 the next one's docs. All stages but the last return the columns of documents.
+
+Defined cases: extra columns come along whatever their names; an empty table gives empty tables; a null
+text counts as the empty one and goes in the first stage, as it has no language; a row without a doc_id
+is a document like others and, of a class of near duplicates, gives way to rows that have one; repeated
+rows are near duplicates, of which one stays (ties by the texts' digests, then by all other columns).
 """
 
 from __future__ import annotations
