@@ -71,7 +71,7 @@ def test_build(spark, repo):
     assert got["Child", "contains", "Child.go"][0] == 1.0
     assert {k for k in got if k[1] == "imports"} == {("api.py", "imports", "service.py")}
     assert not [r for r in nodes.collect() if r["type"] == "module"]
-    assert {r["id"] for r in nodes.where("type = 'config'").collect()} == {"main:file:config.json"}
+    assert {r["id"] for r in nodes.where("type = 'config'").collect()} == {"main:file:config.json", "main:file:.gitignore", "main:file:sub/.gitignore"}
     assert nodes.count() == nodes.select("id").distinct().count()
     chunks = B.chunks("main", files, nodes).collect()
     helper = [c for c in chunks if c["node_id"].endswith("::helper")]
