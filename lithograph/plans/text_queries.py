@@ -152,7 +152,7 @@ def _(m):
 
 @query(
     "agg_14_token_budget",
-    """WITH RECURSIVE r AS (SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r\\x0b]+'))) AS tokens, row_number() OVER (ORDER BY length(text) DESC NULLS LAST, doc_id) AS rn FROM documents),
+    """WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\f\\r\\x0b]+'))) AS tokens, row_number() OVER (ORDER BY length(text) DESC NULLS LAST, doc_id) AS rn FROM documents),
 p AS (SELECT CAST(0 AS BIGINT) AS rn, 0 AS taken, CAST(8000 AS BIGINT) AS room, CAST(NULL AS BIGINT) AS doc_id, false AS got UNION ALL SELECT r.rn, taken + CASE WHEN taken < 20 AND tokens <= room THEN 1 ELSE 0 END, room - CASE WHEN taken < 20 AND tokens <= room THEN tokens ELSE 0 END, r.doc_id, taken < 20 AND tokens <= room FROM p JOIN r ON r.rn = p.rn + 1)
 SELECT taken AS rank, doc_id FROM p WHERE got""",
 )
