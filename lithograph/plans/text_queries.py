@@ -111,6 +111,15 @@ def _(m):
     return R.nearest(m.embeddings, m.embeddings.where("vec_id % 50 = 0"), 10)
 
 
+@query("vec_02_cell_index")
+def _(m):
+    from lithograph.operators import vector_index
+    from lithograph.plans.registry import shared_folder
+
+    index, asked = vector_index.build(m.embeddings, shared_folder(m.spark)), m.embeddings.where("vec_id % 50 = 0")
+    return vector_index.search(index, asked, 10, vector_index.probes(index, asked, 10))
+
+
 @query("vec_06_dimensions", "SELECT len(embedding) AS dimensions, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS norm FROM embeddings GROUP BY 1")
 def _(m):
     return m.embeddings.groupBy(F.size("embedding").cast("long").alias("dimensions")).agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(R.dot(F.col("embedding"), F.col("embedding")))), 6).alias("norm"))
