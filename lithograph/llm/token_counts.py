@@ -140,7 +140,7 @@ def _frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pieces_of(vocabulary)
         for batch in filled(batches):
-            raw = text_bytes(batch)
+            raw, keys = text_bytes(batch), batch.select([0, 1, 2])
             for lo, hi in by_bytes(raw, 2_000_000):
                 found = [(tool.counts(t), tool.n_special(t)) for t in (x.decode("utf-8", "replace") for x in raw[lo:hi])]
                 sizes = np.array([len(c) + 1 for c, _ in found])
@@ -148,8 +148,8 @@ def _frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
                 n = np.fromiter(chain.from_iterable(chain((s,), c.values()) for c, s in found), np.int64)
                 copies = np.zeros(len(n), np.int64)
                 copies[np.cumsum(sizes) - sizes] = 1
-                own = batch.take(pa.array(np.repeat(np.arange(lo, hi), sizes)))
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(3)), pieces, pa.array(n), pa.array(copies)], ["doc_id", "hash", "n_bytes", "piece", "n", "copies"])
+                own = keys.take(pa.array(np.repeat(np.arange(lo, hi), sizes)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pieces, pa.array(n), pa.array(copies)], ["doc_id", "hash", "n_bytes", "piece", "n", "copies"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, hash long, n_bytes long, piece string, n long, copies long")
 
@@ -161,7 +161,7 @@ def _key(piece: Column) -> Column:
 
 def distinct_pieces(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     """key, n, tokens of every distinct pre-token of the corpus: its occurrences and its own tokens; a stored table."""
-    found = _pieces(docs, vocabulary).groupBy(_key(F.col("piece")).alias("key")).agg(F.first("piece").alias("piece"), F.sum("n").alias("n"))
+    found = _pieces(docs, vocabulary).groupBy("piece").agg(F.sum("n").alias("n")).select(_key(F.col("piece")).alias("key"), "piece", "n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pieces_of(vocabulary)
