@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithograph.llm import bpe, chunk_store, decontaminate, language_id, pii, quality_crf, quality_rules, simhash, source_divergence, token_counts, toxicity, url_filter
+from lithograph.llm import bpe, chunk_store, decontaminate, language_id, log_reassembly, pii, quality_crf, quality_rules, simhash, source_divergence, token_counts, toxicity, url_filter
 from lithograph.llm.common import id_crc, shared_dir, table
 
 
@@ -64,6 +64,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_reassembly.replay(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), token_counts.default_vocabulary(), 1024)
 
@@ -80,10 +84,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op11_source_divergence": op11_source_divergence,
+    "op12_log_reassembly": op12_log_reassembly,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op11_source_divergence": source_divergence.ORACLE,
+    "op12_log_reassembly": log_reassembly.ORACLE,
 }
