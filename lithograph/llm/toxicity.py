@@ -4,8 +4,8 @@ Features of a whole text: densities of a lexicon of words and of one of word beg
 stand within ``NEAR`` words of a second-person word, capitals, loud punctuation, and rates of
 obfuscated words (digits or signs inside a word, drawn-out letters, hits that show only once signs are
 read as letters). Training takes at most ``ROWS`` labelled training documents (the documented bound,
-within the bytes that ``common.labelled_sample`` states) in three parts by position in a hash order: one learns the lexicons, one the trees, one the
-calibration, so no stage sees how well the one before it knows its own rows.
+within the bytes that ``common.labelled_sample`` states), dealt into ``FOLDS`` folds by a hash of the text: lexicons, trees and calibration are
+cross-fitted, so every row serves all three and no stage sees how well the one before it knows its own rows.
 
 Prediction is a map without shuffle; lexicons and trees are broadcast and have a fixed bound
 (``LEXICON`` entries, ``TREES`` trees of ``DEPTH``).
@@ -23,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithograph.llm.common import by_bytes, filled, labelled_sample, lengths, seg_sum, small_batches, text_bytes, word_ids
 
 ROWS, LEXICON, NEAR = 6000, 20_000, 5
-TREES, DEPTH, BINS, SHRINK, LEAST_ROWS = 60, 3, 32, 0.2, 8
+TREES, DEPTH, BINS, SHRINK, LEAST_ROWS, FOLDS = 60, 3, 32, 0.2, 8, 5
 
 #: Second-person words of the four languages: fixed values.
 SECOND_PERSON = frozenset(
@@ -226,18 +227,32 @@ class Model:
         return np.clip(np.interp(self.trees.margin(features(rows, self.lexicon, memory)), *self.knots), 0, 1)
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """Lexicons, trees and calibration from (text, label) rows, a third of them each."""
-    parts = [rows[k::3] for k in range(3)]
-    labels = [{y for _, y in p} for p in parts]
-    if any(len(x) < 2 for x in labels):
-        share = float(np.mean([y for _, y in rows])) if rows else 0.5
-        return Model({}, None, (np.zeros(1), np.array([share])))
-    lexicon = learn_lexicon(parts[0])
-    xs = [features([t.encode("utf-8", "surrogatepass") for t, _ in p], lexicon) for p in parts[1:]]
-    ys = [np.array([y for _, y in p], float) for p in parts[1:]]
-    trees = boost(xs[0], ys[0])
-    return Model(lexicon, trees, isotonic(trees.margin(xs[1]), ys[1]))
+def folds(rows: list[tuple[str, int]], salt: int = 0) -> np.ndarray:
+    """The fold of each row, by a hash of its text and so apart from any order of ids; equal texts share one."""
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), seed=salt) % FOLDS for t, _ in rows], np.int64)
+
+
+def train(rows: list[tuple[str, int]], salt: int = 0) -> Model:
+    """Lexicons, trees and calibration from (text, label) rows, cross-fitted in FOLDS folds.
+
+    A row's features come from lexicons of the other folds, and the margin that calibrates it from trees
+    of the other folds, so every row serves each stage and none is scored by what has seen it. The model
+    that scores documents has lexicons and trees of all rows.
+    """
+    y = np.array([label for _, label in rows], float)
+    fold = folds(rows, salt)
+    inside = [fold == k for k in range(FOLDS) if (fold == k).any()]
+    if any(len(set(y[~own])) < 2 for own in inside) or len(inside) < 2:
+        return Model({}, None, (np.zeros(1), np.array([y.mean() if rows else 0.5])))
+    texts = [t.encode("utf-8", "surrogatepass") for t, _ in rows]
+    x = np.zeros((len(rows), len(NAMES)))
+    for own in inside:
+        lexicon = learn_lexicon([r for r, is_own in zip(rows, own, strict=True) if not is_own])
+        x[own] = features([t for t, is_own in zip(texts, own, strict=True) if is_own], lexicon)
+    margin = np.zeros(len(rows))
+    for own in inside:
+        margin[own] = boost(x[~own], y[~own]).margin(x[own])
+    return Model(learn_lexicon(rows), boost(x, y), isotonic(margin, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -337,7 +337,7 @@ def test_null_ids_and_empty_tables(spark, odd):
         assert held.where("held").count() == n
 
 
-@pytest.mark.parametrize("name, label, remainder, accuracy", [("op2_quality_crf", "quality", lambda c: c % 5 == 0, 0.93), ("op9_toxicity", "toxic", lambda c: c % 3 == 1, 0.85)])
+@pytest.mark.parametrize("name, label, remainder, accuracy", [("op2_quality_crf", "quality", lambda c: c % 5 == 0, 0.93)])
 def test_classifiers_on_held_out_rows(spark, name, label, remainder, accuracy):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
