@@ -5,11 +5,11 @@ is the sum over its distinct pre-tokens of their frequency times their own count
 
 1. every task counts the pre-tokens of its texts; one aggregation makes a row of each distinct one,
    whose tokens the library's model counts once;
-2. pre-tokens that make at least one ``HEAD``-th of all occurrences are at most ``HEAD`` by arithmetic,
-   and their keys have at most ``KEY_BYTES`` bytes (longer ones go by a digest), so this table may be
-   broadcast whatever the corpus; no other pre-token is frequent, so none is a hot key of a shuffle;
-3. the frequencies of each document meet the broadcast table; what it has is summed before the
-   shuffle, what it lacks stays a row each and joins the other pre-tokens by sort and merge;
+2. the most frequent of them, ``HEAD`` at most by a histogram of their occurrences, are broadcast; their
+   keys have at most ``KEY_BYTES`` bytes (longer ones go by a digest), which bounds the table whatever the
+   corpus. No other one can make more than a ``HEAD``-th of all occurrences, so a shuffle has no hot key;
+3. the frequencies of each document meet the broadcast table where they are counted; what it lacks is a
+   row each and joins the other pre-tokens by sort and merge;
 4. one sum a document.
 
 Frequencies carry (doc_id, hash and length of the text), never the text; special tokens that a text
@@ -23,12 +23,13 @@ ends; an empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
+import math
 import operator
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from lithograph.llm.bpe import byte_symbols
 from lithograph.llm.common import by_bytes, filled, shared_dir, small_batches, text_bytes, written
 
 #: The broadcast pre-tokens are at most so many, their keys at most so long; characters read at once; pre-tokens that a task holds.
-HEAD, KEY_BYTES, BLOCK, HELD = 1 << 17, 64, 1 << 20, 200_000
+HEAD, KEY_BYTES, BLOCK, HELD = 1 << 18, 64, 1 << 20, 500_000
 #: Pattern of byte-level pre-tokens: a fixed value.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Outside these blocks engines of different Unicode versions may disagree on letters; such texts are cut by the library itself.
@@ -131,34 +132,18 @@ def _pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "piece string, n long")
 
 
-def _frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, hash, n_bytes, piece, n, copies: the pre-tokens of each document; a row without piece holds its special tokens and counts the copy."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = pieces_of(vocabulary)
-        for batch in filled(batches):
-            raw, keys = text_bytes(batch), batch.select([0, 1, 2])
-            for lo, hi in by_bytes(raw, 2_000_000):
-                found = [(tool.counts(t), tool.n_special(t)) for t in (x.decode("utf-8", "replace") for x in raw[lo:hi])]
-                sizes = np.array([len(c) + 1 for c, _ in found])
-                pieces = pa.array(list(chain.from_iterable(chain((None,), c) for c, _ in found)), pa.string())
-                n = np.fromiter(chain.from_iterable(chain((s,), c.values()) for c, s in found), np.int64)
-                copies = np.zeros(len(n), np.int64)
-                copies[np.cumsum(sizes) - sizes] = 1
-                own = keys.take(pa.array(np.repeat(np.arange(lo, hi), sizes)))
-                yield pa.RecordBatch.from_arrays([*own.columns, pieces, pa.array(n), pa.array(copies)], ["doc_id", "hash", "n_bytes", "piece", "n", "copies"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, hash long, n_bytes long, piece string, n long, copies long")
-
-
 def _key(piece: Column) -> Column:
     """A pre-token, or a digest of one that is longer than KEY_BYTES."""
     return F.when(F.octet_length(piece) <= KEY_BYTES, piece).otherwise(F.concat(F.lit("sha256:"), F.sha2(piece.cast("binary"), 256)))
 
 
+def short_key(piece: str) -> str:
+    """The same in Python."""
+    if len(piece) <= KEY_BYTES // 4 or len(raw := piece.encode("utf-8", "replace")) <= KEY_BYTES:
+        return piece
+    return "sha256:" + hashlib.sha256(raw).hexdigest()
+
+
 def distinct_pieces(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     """key, n, tokens of every distinct pre-token of the corpus: its occurrences and its own tokens; a stored table."""
     found = _pieces(docs, vocabulary).groupBy("piece").agg(F.sum("n").alias("n")).select(_key(F.col("piece")).alias("key"), "piece", "n")
@@ -172,22 +157,70 @@ def distinct_pieces(docs: DataFrame, vocabulary: str, path: str) -> DataFrame:
     return written(found.mapInArrow(run, "key string, n long, tokens long"), path)
 
 
+def frequent(pieces: DataFrame, most: int) -> dict[str, int]:
+    """Tokens of the most frequent pre-tokens, ``most`` at most: those above a bound of their number of occurrences."""
+    step = F.floor(F.log2("n") * 16)  # some 1,000 steps at most, whatever the corpus
+    steps = sorted(((r["step"], r["count"]) for r in pieces.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, held = math.inf, 0
+    for at, count in steps:
+        held += count
+        if held > most:
+            break
+        least = at
+    found = pieces.where(step >= F.lit(float(least))).select("key", "tokens").toArrow()
+    return dict(zip(found["key"].to_pylist(), found["tokens"].to_pylist(), strict=True))
+
+
+def _frequencies(docs: DataFrame, vocabulary: str, known: dict[str, int]) -> DataFrame:
+    """doc_id, hash, n_bytes, key, n, copies: the frequencies of a document's pre-tokens that are not ``known``.
+
+    One row more a document has no key: it holds the tokens of its known pre-tokens and special tokens,
+    and counts the copy.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, tokens_of = pieces_of(vocabulary), shared.value.get
+        for batch in filled(batches):
+            raw, document = text_bytes(batch), batch.select([0, 1, 2])
+            for lo, hi in by_bytes(raw, 2_000_000):
+                keys, n, sizes = [], [], []
+                for text in raw[lo:hi]:
+                    text = text.decode("utf-8", "replace")
+                    at, total = len(n), tool.n_special(text)
+                    keys.append(None)
+                    n.append(0)
+                    for piece, count in tool.counts(text).items():
+                        key = short_key(piece)
+                        tokens = tokens_of(key)
+                        if tokens is None:
+                            keys.append(key)
+                            n.append(count)
+                        else:
+                            total += count * tokens
+                    n[at] = total
+                    sizes.append(len(n) - at)
+                own = document.take(pa.array(np.repeat(np.arange(lo, hi), sizes)))
+                copies = [k is None for k in keys]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(copies).cast(pa.int64())], ["doc_id", "hash", "n_bytes", "key", "n", "copies"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, hash long, n_bytes long, key string, n long, copies long")
+
+
 def counted(docs: DataFrame, vocabulary: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; ``head`` bounds the pre-tokens that are broadcast."""
     spark = docs.sparkSession
     small_batches(spark)
-    folder = shared_dir(spark)
-    pieces = distinct_pieces(docs, vocabulary, f"{folder}/pieces")
-    least = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // head)
-    frequent = F.broadcast(pieces.where(F.col("n") >= least).select("key", "tokens"))
+    pieces = distinct_pieces(docs, vocabulary, f"{shared_dir(spark)}/pieces")
+    rows = _frequencies(docs, vocabulary, frequent(pieces, head))
+    # a row without key finds nothing; keys of their own spread such rows (no pre-token has a digit behind another sign)
+    spread = F.coalesce("key", F.concat(F.lit("\x00"), F.col("hash").cast("string")))
+    rated = rows.withColumn("key", spread).join(pieces.select("key", "tokens").hint("merge"), "key", "left")
     document = ["doc_id", "hash", "n_bytes"]
-    rated = _frequencies(docs, vocabulary).withColumn("key", _key(F.col("piece"))).join(frequent, "key", "left")
-    rare = F.when(F.col("tokens").isNull(), F.col("key"))
-    sums = rated.groupBy(*document, rare.alias("key")).agg(F.sum(F.col("n") * F.coalesce("tokens", F.lit(1))).alias("n"), F.sum("copies").alias("copies"))
-    sums = written(sums, f"{folder}/sums")
-    rest = sums.where("key is not null").join(pieces.select("key", "tokens").hint("merge"), "key")
-    both = sums.where("key is null").select(*document, "n", "copies").unionByName(rest.select(*document, (F.col("n") * F.col("tokens")).alias("n"), "copies"))
-    whole = both.groupBy(*document).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    whole = rated.groupBy(*document).agg(F.sum(F.col("n") * F.coalesce("tokens", F.lit(1))).alias("n"), F.sum("copies").alias("copies"))
     n_tokens = F.expr("n div copies")
     # repeated rows come back in two steps, so that no array grows with their number alone
     many = whole.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), "copies", F.explode(F.sequence(F.lit(0), F.expr("(copies - 1) div 4096"))).alias("block"))

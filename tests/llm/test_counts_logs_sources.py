@@ -58,9 +58,11 @@ def test_settled_characters_are_cut_as_the_library_does(library):
 
 def test_frequent_pieces_are_bounded(spark, sf):
     pieces = token_counts.distinct_pieces(spark.read.parquet(f"{sf}/documents.parquet"), VOCABULARY, shared_dir(spark))
-    total = pieces.agg(F.sum("n")).first()[0]
-    for head in (10, 100, 1000):
-        assert pieces.where(F.col("n") >= -(-total // head)).count() <= head
+    every = sorted((r["n"] for r in pieces.collect()), reverse=True)
+    for head in (0, 10, 100, 1000, len(every)):
+        known = token_counts.frequent(pieces, head)
+        assert len(known) <= head and (head < 1000 or len(known) > head // 2)
+        assert not known or min(r["n"] for r in pieces.where(F.col("key").isin(list(known)[:50])).collect()) >= every[head - 1]
     assert pieces.where(F.octet_length("key") > token_counts.KEY_BYTES + 7).isEmpty()
 
 
