@@ -78,7 +78,7 @@ def _scan(rows: DataFrame, group: list[str], at: str, folder: str, fan: int, tot
             same = F.col("block") == F.col("_block")
             for c in group:
                 same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-            here = here.join(above, same, "left").withColumn("before", join(F.col("before"), F.col("into")))
+            here = here.join(above.hint("merge"), same, "left").withColumn("before", join(F.col("before"), F.col("into")))
         out = here.select(*group, at, "v", "before")
         out = written(out, f"{folder}/down{k}") if k else out
     return out
