@@ -1,5 +1,8 @@
 """Communities of planted groups, and stored tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lithograph.operators import community as C
@@ -47,12 +50,66 @@ def test_hierarchy(spark):
     assert [(r["level"], r["size"]) for r in alone.collect()] == [(0, 1)]
 
 
-def test_rounds_over_halves(spark, monkeypatch):
-    nodes, edges = planted(spark, 2, 8)
-    weighted = edges.withColumn("weight", F.lit(1.0))
-    monkeypatch.setattr(C, "LOCAL", 0)
-    home = C.louvain(nodes.select("id"), weighted, levels=1, rounds=4)
-    assert home.count() == 16 and home.select("community").distinct().count() < 16
+def in_turn(nodes, links, resolution):
+    """Louvain node by node on dicts: every node looks in every pass, until no community joins another."""
+    home, near = {n: n for n in nodes}, {n: {} for n in nodes}
+    for a, b, w in links:
+        near[a][b] = near[a].get(b, 0.0) + w
+        if a != b:
+            near[b][a] = near[b].get(a, 0.0) + w
+    while True:
+        degree = {n: sum(ws.values()) for n, ws in near.items()}
+        total, at, size, moved = sum(degree.values()), {n: n for n in near}, dict(degree), True
+        while moved:
+            moved = False
+            for n in sorted(near):
+                to = {at[n]: 0.0}
+                for x, w in near[n].items():
+                    if x != n:
+                        to[at[x]] = to.get(at[x], 0.0) + w
+                size[at[n]] -= degree[n]
+                gain = {c: round(w - resolution * degree[n] * size[c] / total, 9) for c, w in to.items()}
+                best = min(gain, key=lambda c: (-gain[c], c != at[n], c))  # noqa: B023
+                size[best] += degree[n]
+                moved, at[n] = moved or best != at[n], best
+        if len(set(at.values())) == len(near):
+            return home
+        home, merged = {n: at[c] for n, c in home.items()}, {c: {} for c in set(at.values())}
+        for a, ws in near.items():
+            for b, w in ws.items():
+                merged[at[a]][at[b]] = merged[at[a]].get(at[b], 0.0) + w
+        near = merged
+
+
+def quality(home, links, resolution):
+    total = sum(w for *_, w in links)
+    ends = {}
+    for a, b, w in links:
+        for x in (a, b):
+            ends[home[x]] = ends.get(home[x], 0.0) + w
+    return sum(w for a, b, w in links if home[a] == home[b]) / total - resolution * sum((d / (2 * total)) ** 2 for d in ends.values())
+
+
+@pytest.mark.parametrize("block, least", [(C.BLOCK, 0.999), (700, 0.9), (150, 0.8)])
+def test_blocks_come_near_a_sequential_run(spark, block, least):
+    """One block, several, and several with hubs that no block holds."""
+    rng = random.Random(2)
+    names = [f"n{i:03d}" for i in range(160)]
+    pairs = {tuple(sorted(rng.sample([n for n in names if int(n[1:]) % 8 == g], 2))) for g in range(8) for _ in range(60)} | {tuple(sorted(rng.sample(names, 2))) for _ in range(40)} | {("n000", n) for n in names[1:120]}
+    links = [(a, b, rng.choice([0.5, 1.0, 2.0])) for a, b in sorted(pairs)]
+    edges = spark.createDataFrame([(*x, 1.0) for x in links], "source_id string, target_id string, weight double, confidence double")
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    got = {r["id"]: r["community"] for r in C.louvain(nodes, edges, 1.0, block).collect()}
+    want = in_turn(names, links, 1.0)
+    assert quality(got, links, 1.0) >= least * quality(want, links, 1.0) > 0.1
+    assert all(min(n for n in got if got[n] == c) == c for c in set(got.values())) and set(got) == set(names)
+
+
+def test_scopes_are_graphs_of_their_own(spark):
+    nodes, edges = planted(spark, 3, 12)
+    scoped = nodes.select("id", F.substring("id", 1, 3).alias("scope"))
+    home = C.louvain(scoped, edges.withColumn("weight", F.lit(1.0)), 2.0)
+    assert home.where(F.substring("id", 1, 3) != F.substring("community", 1, 3)).isEmpty() and home.count() == 36
 
 
 def test_stored_tables(spark, tmp_path):
