@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,25 +19,30 @@ COMPONENTS, COMPONENT_EDGES, FLOW_NODES, FLOW_EDGES = 12, 18, 14, 14
 def picked(rows: DataFrame, order: list, source: str, target: str, nodes: int, edges: int, page: int = 500) -> DataFrame:
     """The edges that a greedy pick in order takes, with their place: at most ``edges`` that touch at most ``nodes`` ends.
 
-    An edge that would bring too many ends is skipped. Exact over all rows: once the ends are chosen
-    only edges between them can follow, and these are asked for alone.
+    An edge that would bring too many ends is skipped, and once it is it can never fit later. So each
+    round asks for the first ``page`` rows that still fit, which takes one of them at least: exact over
+    all rows in at most ``edges`` rounds. Equal rows are edges of their own; rows without an end are left out.
     """
+    rows = rows.where(F.col(source).isNotNull() & F.col(target).isNotNull())
     seen: list = []
     taken: list = []
-    found = rows.orderBy(*order).limit(page).collect()  # ``page`` rows
-    for r in found:
-        new = [x for x in dict.fromkeys((r[source], r[target])) if x not in seen]
-        if len(taken) < edges and (not taken or len(seen) + len(new) <= nodes):
-            taken.append(r)
-            seen += new
-    if len(taken) < edges and len(found) == page:
-        inside = rows.where(F.col(source).isin(seen) & F.col(target).isin(seen)) if len(seen) >= nodes else rows
-        have = [(r[source], r[target]) for r in taken]
-        for r in inside.orderBy(*order).limit(page + edges).collect():
-            new = [x for x in dict.fromkeys((r[source], r[target])) if x not in seen]
-            if len(taken) < edges and (r[source], r[target]) not in have and len(seen) + len(new) <= nodes:
+    while len(taken) < edges:
+        fits = rows
+        if taken:
+            new = lambda c: (~F.col(c).isin(seen)).cast("int")  # noqa: B023, E731
+            fits = rows.where(new(source) + F.when(F.col(source) == F.col(target), 0).otherwise(new(target)) <= nodes - len(seen))
+        had, before = Counter(map(tuple, taken)), len(taken)
+        found = fits.orderBy(*order).limit(page + before).collect()  # bounded by page and edges
+        for r in found:
+            if had[tuple(r)] > 0:
+                had[tuple(r)] -= 1
+                continue
+            ends = [x for x in dict.fromkeys((r[source], r[target])) if x not in seen]
+            if len(taken) < edges and (not taken or len(seen) + len(ends) <= nodes):
                 taken.append(r)
-                seen += new
+                seen += ends
+        if len(taken) == before or len(found) < page + before:
+            break
     data = [(i, *r) for i, r in enumerate(taken, 1)]
     return rows.sparkSession.createDataFrame(data, "place int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 

@@ -127,3 +127,57 @@ def test_stored_tables(spark, tmp_path):
     T.dropped(spark, [path], "one")
     assert stored("one") == set() and stored("two") == {("z", 9)}
     assert T.evolved(rows(("a", 1)), {"n": "0", "status": "'draft'"}).first()["status"] == "draft"
+
+
+def test_a_replacement_that_dies_leaves_a_whole_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "nodes")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    schema = rows("a").schema
+    stored = lambda: {r["id"] for r in T.stored(spark, path, "r/1", schema).collect()}
+    assert stored() == set()
+    T.replaced(rows("a", "b"), path, "r/1")
+    committed = T._committed
+
+    def dies(*_):
+        raise RuntimeError
+
+    monkeypatch.setattr(T, "_committed", dies)  # after the rows are written, before they count
+    with pytest.raises(RuntimeError):
+        T.replaced(rows("c"), path, "r/1")
+    assert stored() == {"a", "b"}
+    bad = rows("x").select(F.raise_error(F.lit("boom")).cast("string").alias("id"))  # while the rows are written
+    with pytest.raises(Exception, match="boom"):
+        T.replaced(bad, path, "r/1")
+    assert stored() == {"a", "b"}
+    monkeypatch.setattr(T, "_committed", committed)
+    reader = T.stored(spark, path, "r/1", schema)
+    T.replaced(T.stored(spark, path, "r/1", schema).where("id = 'a'").unionByName(rows("d")), path, "r/1")
+    assert stored() == {"a", "d"} and {r["id"] for r in reader.collect()} == {"a", "b"}
+    T.replaced(rows("e").limit(0), path, "r/1")
+    assert stored() == set() and len(list((tmp_path / "nodes").glob("*/*/"))) == 2
+
+
+def test_greedy_picks_are_exact_over_all_rows(spark):
+    from lithograph.operators import wiki as W
+
+    def brute(rows, nodes, edges):
+        seen, out = set(), []
+        for r in sorted(rows):
+            ends = {r[1], r[2]}
+            if len(out) < edges and (not out or len(seen | ends) <= nodes):
+                out.append(r)
+                seen |= ends
+        return out
+
+    rng = random.Random(1)
+    cases = [
+        ([(i, f"a{i}", f"b{i}", "x") for i in range(5)] + [(5, "a0", "k", "x")] + [(10 + i, f"u{i}", f"v{i}", "x") for i in range(600)] + [(9999, "k", "a1", "x")], 12, 18),
+        ([(i, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice("xy")) for i in range(900)], 9, 14),
+        ([(0, "a", "b", "x"), (0, "a", "b", "x"), (0, "a", "b", "y"), (1, "a", "a", "x")] * 3, 2, 7),
+        ([(0, "a", "b", "x")], 1, 5),
+    ]
+    for rows, nodes, edges in cases:
+        df = spark.createDataFrame(rows, "rank int, s string, t string, kind string").repartition(3)
+        for page in (1, 7, 500):
+            got = W.picked(df, ["rank", "s", "t", "kind"], "s", "t", nodes, edges, page).orderBy("place").collect()
+            assert [tuple(r)[1:] for r in got] == brute(rows, nodes, edges)
