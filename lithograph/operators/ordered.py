@@ -27,12 +27,6 @@ def capped(rows: DataFrame, group: str, order: list[Column], each: int, total: i
     return out.orderBy(*order).limit(total) if total else out
 
 
-def suffixed(rows: DataFrame, slug: str, order: str) -> DataFrame:
-    """The rows with ``unique_slug``: repeats get -2, -3, .. in order."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    return rows.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
-
-
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """The rows with their place (from 1) in the order of some columns, which tell rows apart.
 
@@ -46,6 +40,19 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), F.col("_part") == F.col("_at")).withColumn(name, F.col("_before") + F.col("_inside")).select(*rows.columns, name)
 
 
+def suffixed(rows: DataFrame, slug: str, order: str) -> DataFrame:
+    """The rows with ``unique_slug``: repeats get -2, -3, .. in order.
+
+    All rows are numbered by ranges, and a repeat's number is its distance from its slug's first row, so
+    a slug that a third of the rows share is not sorted by one task.
+    """
+    placed = numbered(rows, [slug, order], "_place")
+    first = placed.groupBy(slug).agg(F.min("_place").alias("_first"))
+    n = F.col("_place") - F.col("_first") + 1
+    out = placed.join(first, slug, "left").withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), n.cast("string"))))
+    return out.select(*rows.columns, "unique_slug")
+
+
 def preorder(tree: DataFrame, only: Column | None = None) -> DataFrame:
     """tree(id, parent_id, ord) flattened: id, depth and path, a sort key in pre-order. One join a level, to the last level.
 

@@ -15,7 +15,7 @@ from lithograph.functions.files import LOCK_FILES, is_noise, is_test
 from lithograph.functions.scalars import TERM, base_name, digest_id, token_estimate
 from lithograph.operators import graph as G
 from lithograph.operators import search as R
-from lithograph.operators.ordered import islands
+from lithograph.operators.ordered import islands, numbered
 
 # Bounds of a trace and of what is written from it.
 SEEDS, NODES, EDGES, CHUNKS, TOKENS, SEARCHED = 12, 60, 140, 20, 8000, 32
@@ -116,7 +116,7 @@ def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str,
     near = F.broadcast(chosen.select(F.col("id").alias("node_id"), "hop"))
     ids = keyword.select("id").union(vectors.select("id")).union(chunks.join(near, "node_id", "left_semi").select("id")).distinct()
     lock = F.array(*map(F.lit, LOCK_FILES))
-    candidates = G.cut(chunks.join(F.broadcast(ids), "id").where(~is_noise(F.col("file_path")) & ~F.array_contains(lock, base_name(F.col("file_path")))))
+    candidates = G.cut(chunks.join(ids, "id").where(~is_noise(F.col("file_path")) & ~F.array_contains(lock, base_name(F.col("file_path")))))
     ranked = G.cut(R.hybrid_rank(candidates, kept, within, chosen.select("id", "hop"), keyword, vectors))
     order = [F.desc("score"), F.col("file_path"), F.col("start_line"), F.col("id")]
     packed = R.packed(ranked, "id", order, "token_count", budget, most)
@@ -160,13 +160,14 @@ def context_pack(trace: Trace) -> DataFrame:
 
 def file_groups(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entries: DataFrame) -> DataFrame:
     """file_path, score, nodes, place of the files of a selection: entries count 8, symbols 2, files 1, each edge 1; tests last."""
-    own = nodes.join(F.broadcast(selected.select("id")), "id", "left_semi").where("file_path <> '' and type not in ('repository', 'directory', 'module')")
-    marked = own.join(F.broadcast(entries.select("id", F.lit(True).alias("entry"))), "id", "left")
+    own = nodes.join(selected.select("id"), "id", "left_semi").where("file_path <> '' and type not in ('repository', 'directory', 'module')")
+    marked = own.join(entries.select("id", F.lit(True).alias("entry")), "id", "left")
     value = F.when(F.col("entry"), 8).when(F.col("type") != "file", 2).otherwise(1)
     groups = marked.groupBy("file_path").agg(F.sum(value).alias("score"), F.count("*").alias("nodes"))
     out = G.within(edges.where("type <> 'contains'"), selected).join(own.select(F.col("id").alias("source_id"), "file_path"), "source_id").groupBy("file_path").agg(F.count("*").alias("more"))
     scored = groups.join(out, "file_path", "left").select("file_path", (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"), "nodes", is_test(F.col("file_path")).alias("test"))
-    return scored.withColumn("place", F.row_number().over(Window.orderBy("test", F.desc("score"), "file_path"))).drop("test")
+    placed = numbered(scored.withColumn("minus", -F.col("score")), ["test", "minus", "file_path"], "place")
+    return placed.drop("test", "minus").withColumn("place", F.col("place").cast("int"))
 
 
 def explore(nodes: DataFrame, edges: DataFrame, query: str, max_files: int = SECTION_FILES, max_nodes: int = 160) -> dict[str, DataFrame]:

@@ -41,13 +41,15 @@ def _bm25_part(idf: Column, tf: Column, doc_len: Column, mean: Column) -> Column
 def bm25(chunks: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
     """id, bm25: the score of every chunk that has one of the query's terms.
 
-    A map over the texts counts the asked terms and the length of each, without an index: one row with
-    the statistics is the only thing that is shuffled.
+    One pass over the texts keeps the length of each and how often it has the asked terms, a few numbers
+    a row, which are written once; statistics and scores are taken from these.
     """
     asked = list(dict.fromkeys(query))
     equal = lambda q: lambda x: x == q
-    counts = [F.size(F.filter("t", equal(q))).alias(f"tf{i}") for i, q in enumerate(asked)]
-    rows = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).select("id", F.size("t").alias("doc_len"), *counts)
+    # the array of terms is made once a row: what stands inside the transform is not copied to where it is used
+    kept = lambda t: F.struct(F.size(t).alias("doc_len"), F.filter(t, lambda x: x.isin(asked)).alias("t"))
+    rows = chunks.select(F.col(id_col).alias("id"), F.get(F.transform(F.array(terms(F.col(text_col))), kept), F.lit(0)).alias("x"))
+    rows = cut(rows.select("id", "x.doc_len", *[F.size(F.filter("x.t", equal(q))).alias(f"tf{i}") for i, q in enumerate(asked)]))
     stats = rows.agg(F.count("*").alias("docs"), F.avg("doc_len").alias("mean_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
     hits = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))) or "false").crossJoin(F.broadcast(stats))
     parts = [F.when(F.col(f"tf{i}") > 0, _bm25_part(_idf(F.col("docs"), F.col(f"df{i}")), F.col(f"tf{i}"), F.col("doc_len"), F.col("mean_len"))).otherwise(0.0) for i in range(len(asked))]

@@ -9,6 +9,7 @@ from lithograph.functions import scalars as S
 from lithograph.operators import graph as G
 from lithograph.operators import ingest as I
 from lithograph.operators import ordered as O
+from lithograph.operators import phrases
 from lithograph.operators import search as R
 from lithograph.operators import tables as T
 from lithograph.plans.registry import query, shared_folder
@@ -489,6 +490,23 @@ def _(m):
     return R.all_terms(m.documents.where("text is not null"), "text", ["the", "and"]).select("doc_id")
 
 
+#: The search '"in the" that -with or "to the" "and of"' by unnest and position arithmetic.
+BOOLEAN_SEARCH = f"""WITH t AS (SELECT doc_id AS id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {TERMS} AS w FROM documents)),
+lits AS (SELECT * FROM (VALUES (0, 0, 'in', 2), (0, 1, 'the', 2), (1, 0, 'that', 1), (2, 0, 'with', 1), (3, 0, 'to', 2), (3, 1, 'the', 2), (4, 0, 'and', 2), (4, 1, 'of', 2)) v(lit, j, term, k)),
+occ AS (SELECT lit, id, pos - j AS b, pos - j + k - 1 AS e FROM t JOIN lits USING (term) GROUP BY lit, id, pos - j, k HAVING count(*) = k),
+one AS (SELECT 0 AS part, id, e, max(CASE WHEN lit = 0 THEN b END) OVER (PARTITION BY id ORDER BY e) AS x, max(CASE WHEN lit = 1 THEN b END) OVER (PARTITION BY id ORDER BY e) AS y, 3 AS words FROM occ WHERE lit IN (0, 1)),
+two AS (SELECT 1 AS part, id, e, max(CASE WHEN lit = 3 THEN b END) OVER (PARTITION BY id ORDER BY e) AS x, max(CASE WHEN lit = 4 THEN b END) OVER (PARTITION BY id ORDER BY e) AS y, 4 AS words FROM occ WHERE lit IN (3, 4)),
+covers AS (SELECT part, id, least(x, y) AS b, min(e) AS e, words FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL)
+SELECT id, round(sum(CAST(0.1 AS DOUBLE) / (1 + greatest(e - b + 1 - words, 0))), 6) AS rank FROM covers WHERE part = 1 OR id NOT IN (SELECT id FROM occ WHERE lit = 2) GROUP BY id"""
+
+
+@query("flt_04_boolean_search", BOOLEAN_SEARCH)
+def _(m):
+    path = shared_folder(m.spark)
+    phrases.write_index(m.documents, "doc_id", "text", path)
+    return phrases.stored_search(m.spark, path, '"in the" that -with or "to the" "and of"')
+
+
 @query("flt_12_vec_05_embedding_text", "SELECT id, file_path || ':' || CAST(start_line AS STRING) || '-' || CAST(end_line AS STRING) || chr(10) || content AS text FROM g_chunks", "g_chunks")
 def _(m):
     from lithograph.operators.build import embedding_text
