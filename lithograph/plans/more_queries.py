@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lithograph.functions import fuzzy as FU
 from lithograph.functions import scalars as S
 from lithograph.operators import community as C
 from lithograph.operators import graph as G
@@ -224,6 +225,21 @@ def _(m):
     return m.part.select("p_partkey", "p_name", d.alias("distance")).where(F.col("distance") / F.greatest(F.length("p_name"), F.lit(10)) <= 0.34).select("p_partkey", "distance")
 
 
+#: Every part of a text against the pattern, by its start and length.
+PARTS = "WITH{views} t AS ({rows}), p AS (SELECT id, text, unnest(range(1, length(text) + 1)) AS b FROM t), q AS (SELECT id, substr(text, CAST(b AS INTEGER), CAST(n AS INTEGER)) AS part FROM (SELECT *, unnest(range(1, {most})) AS n FROM p)) SELECT id, CAST(min(levenshtein(lower(part), '{pattern}')) AS INTEGER) AS edits FROM q GROUP BY id HAVING min(levenshtein(lower(part), '{pattern}')) <= {allowed}"
+
+
+@query("flt_18_fuzzy_names", PARTS.format(views="", rows="SELECT p_partkey AS id, p_name AS text FROM part", most=14, pattern="red widgit", allowed=3))
+def _(m):
+    return m.part.where(FU.matches(F.col("p_name"), "red widgit")).select(F.col("p_partkey").alias("id"), FU.edits(F.col("p_name"), "red widgit").alias("edits"))
+
+
+@query("flt_18_fuzzy_paths", ", " + PARTS.format(views="", rows="SELECT DISTINCT file_path AS id, file_path AS text FROM g_nodes WHERE file_path <> ''", most=18, pattern="suplier_12.py", allowed=4).removeprefix("WITH "), "g_nodes")
+def _(m):
+    paths = m.nodes.where("file_path <> ''").select(F.col("file_path").alias("id")).distinct()
+    return paths.where(FU.matches(F.col("id"), "suplier_12.py", FU.LOOSE)).select("id", FU.edits(F.col("id"), "suplier_12.py").alias("edits"))
+
+
 @query("qry_16_file_tree", ", d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, path FROM g_files) SELECT dir, count(*) AS files, min(split_part(path, '/', -1)) AS first FROM d GROUP BY dir", "g_files")
 def _(m):
     return m.files.groupBy(S.parent_dir(F.col("path")).alias("dir")).agg(F.count("*").alias("files"), F.min(S.base_name(F.col("path"))).alias("first"))
