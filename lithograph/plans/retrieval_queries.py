@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lithograph.operators import graph as G
 from lithograph.operators import retrieve as V
+from lithograph.operators import translations as TR
 from lithograph.operators import wiki as W
 from lithograph.plans.registry import query
 
@@ -120,3 +121,36 @@ def _(m):
     repos = m.spark.createDataFrame([("r:1", "alpha-1", "/src/a", None), ("r:2", "Beta", "/src/b", None), ("gamma", "C", "/src/c", None), ("r:4", "same", "/src/d", None), ("r:5", "same", "/src/e", None)], "id string, name string, path string, git_url string")
     asked = m.spark.createDataFrame([("alpha-1",), ("Beta",), ("gam",), ("/src/d",), ("same",), ("nothing",)], "selector string")
     return W.resolve_repos(repos, asked).select("selector", F.when(F.col("id") == "gamma", "r:3").otherwise(F.col("id")).alias("id"))
+
+
+#: Turns of conversations as versions of pages: the first as it was translated, the second as it is now, the third its translation.
+VERSIONS = """o AS (SELECT 'c' || CAST(conv_id AS STRING) AS slug, length(text) % 3 AS hash FROM conversations WHERE turn = 0 AND conv_id % 9 <> 4),
+s AS (SELECT 'c' || CAST(conv_id AS STRING) AS slug, CASE WHEN conv_id > 0 THEN 'c' || CAST(CAST((conv_id - conv_id % 2) / 2 AS BIGINT) AS STRING) END AS parent_slug, length(text) % 3 AS hash, 'T' || CAST(length(text) AS STRING) AS title FROM conversations WHERE turn = 1 AND length(text) % 7 <> 0),
+t AS (SELECT 'c' || CAST(conv_id AS STRING) AS slug, role || CAST(length(text) AS STRING) AS title, length(text) % 2 = 0 AS edited, CASE WHEN length(text) % 5 = 0 THEN 'draft' ELSE 'generated' END AS status FROM conversations WHERE turn = 2 AND length(text) % 4 <> 1)"""
+
+
+def versions(m):
+    sql = "WITH " + VERSIONS.replace("FROM conversations", "FROM {conversations}")
+    return {n: m.spark.sql(f"{sql} SELECT * FROM {n}", conversations=m.conversations) for n in ("o", "s", "t")}
+
+
+@query(
+    "qry_12_catalog_merge",
+    "WITH RECURSIVE " + VERSIONS + """, k AS (SELECT slug, CASE WHEN s.slug IS NULL THEN CASE WHEN t.edited THEN 'orphan' ELSE 'delete' END WHEN t.slug IS NULL THEN 'translate' WHEN o.hash = s.hash THEN 'reuse' WHEN t.edited THEN 'conflict' ELSE 'retranslate' END AS class, coalesce(t.title, s.title) AS title, parent_slug
+  FROM s FULL JOIN t USING (slug) LEFT JOIN o USING (slug)),
+up AS (SELECT parent_slug AS slug FROM k WHERE class IN ('translate', 'retranslate', 'conflict') AND parent_slug IS NOT NULL UNION SELECT k.parent_slug FROM up JOIN k ON k.slug = up.slug WHERE k.parent_slug IS NOT NULL)
+SELECT slug, class, title, class = 'reuse' AND slug IN (SELECT slug FROM up) AS above FROM k""",
+)
+def _(m):
+    v = versions(m)
+    return TR.merged(v["o"], v["s"], v["t"])
+
+
+@query(
+    "qry_23_translation_plan",
+    "WITH " + VERSIONS + """, g AS (SELECT slug FROM o WHERE hash = 0)
+SELECT slug, CASE WHEN s.slug IS NULL THEN 'delete' WHEN t.slug IS NULL OR status <> 'generated' OR slug IN (SELECT slug FROM g) THEN 'translate' ELSE 'reuse' END AS action, coalesce(s.slug IS NOT NULL AND status <> 'generated', false) AS stale FROM s FULL JOIN t USING (slug)""",
+)
+def _(m):
+    v = versions(m)
+    return TR.plan(v["s"], v["t"], v["o"].where("hash = 0"))
