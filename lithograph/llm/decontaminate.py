@@ -19,7 +19,8 @@ what is broadcast has a fixed bound, some two to three times a block. Of several
 broadcast at a time: each pass is written to the shared folder before the next block is read.
 
 Defined cases: null or wordless documents and items match nothing; repeated rows each give their
-pairs; items that repeat under one item_id are one item each; empty tables give an empty table.
+pairs; items that repeat under one item_id are one item each; an item without item_id is none, as nothing
+could name it; empty tables give an empty table.
 """
 
 from __future__ import annotations
