@@ -84,3 +84,12 @@ def test_items_without_id_are_no_items(spark):
     items = spark.createDataFrame([(None, "one two three four five six seven"), (1, "a b c d e f g")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "x a b c d e f g y")], "doc_id long, text string")
     assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).select(F.col("doc_id")).collect()} == {2}
+
+
+def test_rules_are_the_contracts():
+    """The list of operator 8's contract, word by word, and a URL under each rule of net."""
+    want = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    assert url_filter.RULES == want
+    root = url_filter.build(url_filter.RULES)
+    assert url_filter.longest(root, "a.net", "/de/1") == ("net", "/de/", "allow")
+    assert url_filter.longest(root, "a.example.net", "/de/81") == ("example.net", "/de/8", "block")
