@@ -9,6 +9,7 @@ from lithograph.functions import fuzzy as FU
 from lithograph.functions import scalars as S
 from lithograph.operators import community as C
 from lithograph.operators import graph as G
+from lithograph.operators import ranges as RG
 from lithograph.plans.registry import query
 
 
@@ -46,8 +47,10 @@ CITED_RANGES = ", c AS (SELECT id, file_path, start_line, end_line FROM g_nodes
 def cited_ranges(m, rows):
     k = F.col("o_orderkey")
     cites = rows.select(k.alias("cite"), F.concat(F.lit("app/"), F.lower("o_orderstatus"), F.lit("/orders_"), (k % 60).cast("string"), F.lit(".go")).alias("file_path"), (k % 700 + 3).cast("int").alias("s"), (k % 700 + 9).cast("int").alias("e"))
-    inside = cites.join(m.nodes.where("type = 'method'").select("id", "file_path", "start_line", "end_line"), "file_path").where("start_line <= s and e <= end_line")
-    return inside.groupBy("cite").agg(F.count("*").alias("chunks"), F.min("id").alias("first"))
+    spans = m.nodes.where("type = 'method'").groupBy("file_path", "start_line", "end_line").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    inside = RG.meeting(cites.select("file_path", "s", "e").distinct(), spans, "file_path").where(RG.HOLDS)
+    held = inside.groupBy("file_path", "s", "e").agg(F.sum("n").alias("chunks"), F.min("id").alias("first"))
+    return cites.join(held, ["file_path", "s", "e"]).groupBy("cite").agg(F.sum("chunks").alias("chunks"), F.min("first").alias("first"))
 
 
 @query("jn_12_cited_ranges", CITED_RANGES, "g_nodes")
