@@ -10,6 +10,7 @@ from lithograph.operators import graph as G
 from lithograph.operators import ingest as I
 from lithograph.operators import ordered as O
 from lithograph.operators import phrases
+from lithograph.operators import ranges as RG
 from lithograph.operators import search as R
 from lithograph.operators import tables as T
 from lithograph.plans.registry import query, shared_folder
@@ -343,7 +344,7 @@ def _(m):
 )
 def _(m):
     spans = m.nodes.where("type = 'function'").select("id", "file_path", "start_line", "end_line")
-    return I.innermost(spans, spans)
+    return RG.innermost(spans, spans)
 
 
 @query(
