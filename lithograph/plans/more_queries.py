@@ -28,12 +28,14 @@ SELECT ref, id, holds FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER
 def best_symbol_for_range(m, rows):
     path = F.concat(F.lit("lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/part_"), (F.col("p_partkey") % 20).cast("string"), F.lit(".py"))
     refs = rows.select(F.col("p_partkey").alias("ref"), path.alias("file_path"), (F.col("p_partkey") % 890 + 2).cast("int").alias("s"), (F.col("p_partkey") % 890 + 8).cast("int").alias("e"))
-    near = refs.join(m.nodes.where("type = 'function'").select("id", "file_path", "start_line", "end_line"), "file_path").where("start_line <= e and s <= end_line")
-    near = near.withColumns({"holds": F.expr("start_line <= s and e <= end_line"), "shared": F.expr("least(e, end_line) - greatest(s, start_line) + 1"), "own": F.expr("e - s + 1"), "size": F.expr("end_line - start_line + 1")})
+    spans = m.nodes.where("type = 'function'").groupBy("file_path", "start_line", "end_line").agg(F.min("id").alias("id"))
+    near = RG.meeting(refs.select("file_path", "s", "e").distinct(), spans, "file_path").where("start_line <= e and s <= end_line")
+    near = near.withColumns({"holds": F.expr(RG.HOLDS), "shared": F.expr("least(e, end_line) - greatest(s, start_line) + 1"), "own": F.expr("e - s + 1"), "size": F.expr("end_line - start_line + 1")})
     near = near.where("holds or (size <= 80 and shared >= 3 and (shared * 2 >= own or shared * 4 >= size * 3))")
     rank = F.struct((~F.col("holds")).alias("h"), F.when(F.col("holds"), F.col("size") - 1).otherwise(-F.col("shared")).alias("d"), F.col("id").alias("i"))
-    best = near.groupBy("ref").agg(F.min_by(F.struct("id", "holds"), rank).alias("x"))
-    return best.select("ref", "x.id", "x.holds")
+    best = near.groupBy("file_path", "s", "e").agg(F.min(rank).alias("x"))  # of a range; refs of the same range share it
+    found = refs.join(best, ["file_path", "s", "e"]).groupBy("ref").agg(F.min("x").alias("x"))
+    return found.select("ref", F.col("x.i").alias("id"), (~F.col("x.h")).alias("holds"))
 
 
 @query("jn_11_best_symbol_for_range", BEST_SYMBOL_FOR_RANGE, "g_nodes")
