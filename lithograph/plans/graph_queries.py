@@ -133,7 +133,7 @@ DEPENDS = """, f AS (SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM
 
 @query("agg_06_file_dependents", DEPENDS + " SELECT src, dst FROM f", "g_nodes", "g_edges")
 def _(m):
-    return G.file_dependents(m.nodes, m.edges)
+    return G.file_dependents(m.nodes, m.links)
 
 
 @query(
@@ -142,7 +142,7 @@ def _(m):
     "g_nodes", "g_edges",
 )
 def _(m):
-    links = G.cut(G.file_dependents(m.nodes, m.edges).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = G.cut(G.file_dependents(m.nodes, m.links).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     roots = m.spark.createDataFrame([("lib/brand_7/part_3.py",)], "id string")
     return G.reachable(links, roots, 3)
 
@@ -153,7 +153,7 @@ def _(m):
     "g_nodes", "g_edges",
 )
 def _(m):
-    links = G.cut(G.file_dependents(m.nodes, m.edges).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = G.cut(G.file_dependents(m.nodes, m.links).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     roots = m.spark.createDataFrame([("lib/brand_7/part_3.py",)], "id string")
     return G.reachable(links, roots, 5).withColumn("is_test", is_test(F.col("id")))
 
