@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,21 +133,104 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Numbers of query vectors that are broadcast at once, scores held at once, and what rounding to 6 digits can hide.
+QUERY_NUMBERS, SCORES, MARGIN = 4_000_000, 2_000_000, 2e-6
+
+
+def _vectors(ids, column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows of the vectors by their length; without an id, null, empty or with a null in it they are nowhere near."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    keep = pc.and_(ids.is_valid(), column.is_valid()).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(length[keep & (length > 0)]).tolist():
+        at = pa.array(np.flatnonzero(keep & (length == n)))
+        flat = column.take(at).flatten()
+        x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n).all(1)
+        out[n] = ids.take(at).to_numpy(zero_copy_only=False)[whole].astype(np.int64), x[whole]
+    return out
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the left as ``dot`` does."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _best(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What of rows(q, twin, id, cos) may be among a query's k best, with queries and their k-th cosines.
+
+    Of the same vector only the k smallest ids count; what lies within MARGIN of the k-th may be a tie.
+    """
+    cos = np.where(np.isnan(rows["cos"]), np.inf, rows["cos"])
+    place = lambda *keys: np.arange(len(rows)) - np.maximum.accumulate(np.where(np.r_[True, np.any([x[1:] != x[:-1] for x in keys], axis=0)], np.arange(len(rows)), 0))
+    order = np.lexsort((rows["id"], rows["twin"], rows["q"]))
+    rows, cos = rows[order], cos[order]
+    kept = place(rows["q"], rows["twin"]) < k
+    rows, cos = rows[kept], cos[kept]
+    order = np.lexsort((-cos, rows["q"]))
+    rows, cos = rows[order], cos[order]
+    last = place(rows["q"]) == k - 1
+    bound = np.full(int(rows["q"].max()) + 1 if len(rows) else 0, -np.inf)
+    bound[rows["q"][last]] = cos[last]
+    return rows[~(cos < bound[rows["q"]] - MARGIN)], rows["q"][last], cos[last]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, most: int = 20_000) -> DataFrame:
     """query_id, vec_id, score, place: the k nearest vectors by cosine of every query (a stated set of queries).
 
-    Queries are broadcast at most ``most`` at a time; more are asked in blocks by a hash of their id, one
-    after the other, each block's best written to the checkpoint folder. Of a query's scores each task
-    keeps its own best k before the shuffle (the group limit of row_number).
+    All pairs are scored, by products of blocks in Arrow maps; queries are broadcast at most ``most`` (and
+    QUERY_NUMBERS numbers) at a time, more are asked in blocks by a hash of their id, one after the other,
+    each block's best written to the checkpoint folder. A task keeps what may be among a query's best k, whose cosines are
+    then made in the order of ``dot``; places are given after the shuffle.
     """
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    v = vectors.select("vec_id", "embedding", norm("embedding").alias("v_norm"))
-    blocks = -(-queries.count() // most)
+    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = -(-n // max(1, min(most, QUERY_NUMBERS // max(width or 1, 1))))
 
     def asked(part: DataFrame) -> DataFrame:
-        q = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm("embedding").alias("q_norm")))
-        pairs = v.join(q, F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("v_norm") * F.col("q_norm"), F.lit(0.0))), 6).alias("score")).where("score > 0")
+        table = part.select("vec_id", "embedding").toArrow()
+        q = {w: (i, x, np.sqrt(_dots(x, x))) for w, (i, x) in _vectors(table.column(0).combine_chunks(), table.column(1)).items()}
+        shared = vectors.sparkSession.sparkContext.broadcast(q)
+
+        def run(batches):
+            kind = [("q", "<i8"), ("twin", "<i8"), ("id", "<i8"), ("cos", "<f8")]
+            held = {w: np.zeros(0, kind) for w in shared.value}
+            bounds = {w: np.full(len(i), -np.inf) for w, (i, _, _) in shared.value.items()}
+            for batch in batches:
+                for w, (ids, x) in _vectors(batch.column(0), batch.column(1)).items():
+                    if w not in held:
+                        continue
+                    own, y, size = shared.value[w]
+                    norm = np.sqrt(_dots(x, x))
+                    twins = np.array([hash(r.tobytes()) for r in x], np.int64)
+                    step = max(1, SCORES // len(own))
+                    for lo in range(0, len(x), step):
+                        part_x, part_ids, part_norm = x[lo : lo + step], ids[lo : lo + step], norm[lo : lo + step]
+                        with np.errstate(all="ignore"):
+                            near = (y @ part_x.T) / (size[:, None] * part_norm[None, :])
+                        near[(size == 0)[:, None] | (part_norm == 0)[None, :] | (own[:, None] == part_ids[None, :])] = -1.0
+                        least = bounds[w]
+                        if near.shape[1] >= k:  # what these rows alone reach
+                            reached = np.partition(near, -k, axis=1)[:, -k]
+                            least = np.maximum(least, np.where(np.isnan(reached), np.inf, reached))
+                        at_q, at_x = np.nonzero(~(near < np.maximum(least - MARGIN, 4e-7)[:, None]))
+                        if not len(at_q):
+                            continue
+                        new = np.zeros(len(at_q), kind)
+                        new["q"], new["twin"], new["id"] = at_q, twins[lo : lo + step][at_x], part_ids[at_x]
+                        for i in range(0, len(at_q), 20_000):
+                            a, b = at_q[i : i + 20_000], at_x[i : i + 20_000]
+                            with np.errstate(all="ignore"):
+                                new["cos"][i : i + 20_000] = _dots(part_x[b], y[a]) / (part_norm[b] * size[a])
+                        held[w], found, value = _best(np.concatenate([held[w], new]), k)
+                        bounds[w][found] = value
+            for w, rows in held.items():
+                for lo in range(0, len(rows), 100_000):
+                    some = rows[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value[w][0][some["q"]]), pa.array(some["id"]), pa.array(some["cos"])], ["query_id", "vec_id", "cos"])
+
+        pairs = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, cos double")
+        scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), "cos"), 6).alias("score")).where("score > 0")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return scored.withColumn("place", place).where(F.col("place") <= k)
 
