@@ -128,25 +128,40 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int) ->
     return seen
 
 
-def shortest_flow(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int = 8) -> DataFrame:
+#: Ids that are broadcast at most, where a step's frontier meets a whole table.
+MOST_BROADCAST = 100_000
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """The ids, broadcast where they are few."""
+    return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
+
+
+def shortest_flow(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int = 8, last=None) -> DataFrame:
     """step, id, edge_id: one shortest path along flow edges from starts(id) to targets(id); no rows if there is none.
 
     The frontier keeps a parent for each node: the parent that was found first, then the edge of the
-    smallest order (type, confidence downwards, id).
+    smallest order (type, confidence downwards, id). ``edges`` may be links of which ``last`` makes edges: each step
+    does so for those that leave its frontier, so that no step shuffles or keeps the others.
     """
-    known = edges.where(F.col("type").isin(FLOW_TYPES)).join(nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    flow = known.select("source_id", "target_id", F.col("id").alias("edge_id"), F.struct(lookup(EDGE_ORDER, F.col("type"), OTHER_ORDER).alias("o"), (-F.col("confidence")).alias("c"), F.col("id").alias("e")).alias("rank"))
+    flow = edges.where(F.col("type").isin(FLOW_TYPES))
+    rank = F.struct(lookup(EDGE_ORDER, F.col("type"), OTHER_ORDER).alias("o"), (-F.col("confidence")).alias("c"), F.col("id").alias("e")).alias("rank")
     path = F.array().cast("array<struct<id:string,edge_id:string>>")
     order = F.array(F.struct(F.lit(0).alias("o"), F.lit(0.0).alias("c"), F.col("id").alias("e")))
     front = cut(starts.select("id").distinct().select("id", F.array(F.struct("id", F.lit(None).cast("string").alias("edge_id"))).alias("path"), order.alias("order")))
     seen = front.select("id")
     for step in range(depth + 1):
-        found = front.join(targets.select("id").distinct(), "id", "left_semi").orderBy("order").limit(1)
+        own = _few(front.select("id"))
+        hit = targets.select("id").join(own, "id", "left_semi").distinct()
+        found = front.join(hit, "id", "left_semi").orderBy("order").limit(1)
         if not found.isEmpty():
             return found.select(F.posexplode("path").alias("step", "x")).select("step", "x.id", "x.edge_id")
         if step == depth:
             break
-        near = flow.join(front.select(F.col("id").alias("source_id"), "path", "order"), "source_id").join(seen.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+        out = flow.join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        out = cut((last(out) if last else out).select("source_id", "target_id", F.col("id").alias("edge_id"), rank))
+        known = nodes.select("id").join(_few(out.select(F.col("target_id").alias("id")).distinct()), "id", "left_semi").distinct()
+        near = out.join(known.select(F.col("id").alias("target_id")), "target_id", "left_semi").join(front.select(F.col("id").alias("source_id"), "path", "order"), "source_id").join(seen.select(F.col("id").alias("target_id")), "target_id", "left_anti")
         near = near.select(F.col("target_id").alias("id"), F.concat("path", F.array(F.struct(F.col("target_id").alias("id"), "edge_id"))).alias("path"), F.concat("order", F.array("rank")).alias("order"))
         front = cut(near.groupBy("id").agg(F.min_by("path", "order").alias("path"), F.min("order").alias("order")))
         if front.isEmpty():

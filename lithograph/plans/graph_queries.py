@@ -8,7 +8,7 @@ from lithograph.functions.files import is_noise, is_test, module_of
 from lithograph.functions.scalars import digest_id
 from lithograph.operators import graph as G
 from lithograph.operators import ordered as O
-from lithograph.plans.registry import query
+from lithograph.plans.registry import last_links, query
 
 WEIGHT = "CASE type WHEN 'calls' THEN 1.0 WHEN 'routes_to' THEN 1.0 WHEN 'references' THEN 0.7 WHEN 'contains' THEN 0.58 ELSE 0.35 END"
 
@@ -109,7 +109,7 @@ def _(m):
     "g_edges",
 )
 def _(m):
-    return G.shortest_flow(m.nodes, G.cut(m.edges), m.nodes.where("id = 'c:5'").select("id"), m.nodes.where("type = 'function'").select("id"))
+    return G.shortest_flow(m.nodes, m.links, m.nodes.where("id = 'c:5'").select("id"), m.nodes.where("type = 'function'").select("id"), last=last_links)
 
 
 @query(
