@@ -13,7 +13,7 @@ from lithograph.plans.registry import query
 
 @query("qry_01_retrieve")
 def _(m):
-    return V.rows(V.retrieve(m.nodes, G.cut(m.edges), m.chunks, "red steel part", members=m.members))
+    return V.rows(V.retrieve(m.nodes, m.edges, m.chunks, "red steel part", members=m.members))
 
 
 @query(
