@@ -176,13 +176,88 @@ def _best(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return rows[~(cos < bound[rows["q"]] - MARGIN)], rows["q"][last], cos[last]
 
 
+#: What a task holds of a pair: place of the query, hash of the vector, its id, cosine.
+PAIR = [("q", "<i8"), ("twin", "<i8"), ("id", "<i8"), ("cos", "<f8")]
+
+
+class Gathered:
+    """What may be among the ``k`` best of each query, of the rows seen so far; all vectors have one length.
+
+    Rows are scored by products of blocks, SCORES at once. The few that a query's bound lets through get cosines made
+    in the order of ``dot``; they are sorted in when they have become as many as those held.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, size: np.ndarray, k: int):
+        self.ids, self.x, self.size, self.k = ids, x, size, k
+        self.held, self.new, self.waiting = np.zeros(0, PAIR), [], 0
+        self.bounds = np.full(len(ids), -np.inf)
+
+    def see(self, ids: np.ndarray, x: np.ndarray, at: np.ndarray | None = None) -> None:
+        """Takes rows in, for the queries at these places (all without them)."""
+        at = np.arange(len(self.ids)) if at is None else at
+        if not len(at):
+            return
+        own, y, size = (self.ids, self.x, self.size) if len(at) == len(self.ids) else (self.ids[at], self.x[at], self.size[at])
+        norm = np.sqrt(_dots(x, x))
+        twins = np.array([hash(r.tobytes()) for r in x], np.int64)
+        step = max(1, SCORES // len(own))
+        for lo in range(0, len(x), step):
+            part_x, part_ids, part_norm = x[lo : lo + step], ids[lo : lo + step], norm[lo : lo + step]
+            with np.errstate(all="ignore"):
+                near = (y @ part_x.T) / (size[:, None] * part_norm[None, :])
+            near[size == 0] = -1.0
+            near[:, part_norm == 0] = -1.0
+            for j in np.flatnonzero(np.isin(part_ids, own)).tolist():
+                near[own == part_ids[j], j] = -1.0
+            least = np.maximum(self.bounds[at] - MARGIN, 4e-7)
+            fine = ~(near < least[:, None])
+            many = np.flatnonzero(fine.sum(1) > self.k)
+            if len(many):  # what these rows alone reach
+                reached = np.partition(near[many], -self.k, axis=1)[:, -self.k]
+                least = np.maximum(least[many], np.where(np.isnan(reached), np.inf, reached) - MARGIN)
+                fine[many] = ~(near[many] < least[:, None])
+            at_q, at_x = np.nonzero(fine)
+            if not len(at_q):
+                continue
+            new = np.zeros(len(at_q), PAIR)
+            new["q"], new["twin"], new["id"] = at[at_q], twins[lo : lo + step][at_x], part_ids[at_x]
+            for i in range(0, len(at_q), 20_000):
+                a, b = at_q[i : i + 20_000], at_x[i : i + 20_000]
+                with np.errstate(all="ignore"):
+                    new["cos"][i : i + 20_000] = _dots(part_x[b], y[a]) / (part_norm[b] * size[a])
+            self.new.append(new)
+            self.waiting += len(new)
+            if self.waiting >= max(1000, len(self.held)):
+                self._sort_in()
+
+    def _sort_in(self) -> None:
+        if self.new:
+            self.held, found, value = _best(np.concatenate([self.held, *self.new]), self.k)
+            self.bounds[found] = value
+            self.new, self.waiting = [], 0
+
+    def batches(self):
+        """query_id, vec_id, cos of all that is held."""
+        self._sort_in()
+        for lo in range(0, len(self.held), 100_000):
+            some = self.held[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[some["q"]]), pa.array(some["id"]), pa.array(some["cos"])], ["query_id", "vec_id", "cos"])
+
+
+def placed(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, place: the k best of the pairs (query_id, vec_id, cos) of each query."""
+    scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), "cos"), 6).alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, most: int = 20_000) -> DataFrame:
     """query_id, vec_id, score, place: the k nearest vectors by cosine of every query (a stated set of queries).
 
     All pairs are scored, by products of blocks in Arrow maps; queries are broadcast at most ``most`` (and
     QUERY_NUMBERS numbers) at a time, more are asked in blocks by a hash of their id, one after the other,
-    each block's best written to the checkpoint folder. A task keeps what may be among a query's best k, whose cosines are
-    then made in the order of ``dot``; places are given after the shuffle.
+    each block's best written to the checkpoint folder. A task keeps what may be among a query's best k (``Gathered``);
+    places are given after the shuffle.
     """
     n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
     blocks = -(-n // max(1, min(most, QUERY_NUMBERS // max(width or 1, 1))))
@@ -193,46 +268,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most: int = 20_000)
         shared = vectors.sparkSession.sparkContext.broadcast(q)
 
         def run(batches):
-            kind = [("q", "<i8"), ("twin", "<i8"), ("id", "<i8"), ("cos", "<f8")]
-            held = {w: np.zeros(0, kind) for w in shared.value}
-            bounds = {w: np.full(len(i), -np.inf) for w, (i, _, _) in shared.value.items()}
+            found = {w: Gathered(*of, k) for w, of in shared.value.items()}
             for batch in batches:
                 for w, (ids, x) in _vectors(batch.column(0), batch.column(1)).items():
-                    if w not in held:
-                        continue
-                    own, y, size = shared.value[w]
-                    norm = np.sqrt(_dots(x, x))
-                    twins = np.array([hash(r.tobytes()) for r in x], np.int64)
-                    step = max(1, SCORES // len(own))
-                    for lo in range(0, len(x), step):
-                        part_x, part_ids, part_norm = x[lo : lo + step], ids[lo : lo + step], norm[lo : lo + step]
-                        with np.errstate(all="ignore"):
-                            near = (y @ part_x.T) / (size[:, None] * part_norm[None, :])
-                        near[(size == 0)[:, None] | (part_norm == 0)[None, :] | (own[:, None] == part_ids[None, :])] = -1.0
-                        least = bounds[w]
-                        if near.shape[1] >= k:  # what these rows alone reach
-                            reached = np.partition(near, -k, axis=1)[:, -k]
-                            least = np.maximum(least, np.where(np.isnan(reached), np.inf, reached))
-                        at_q, at_x = np.nonzero(~(near < np.maximum(least - MARGIN, 4e-7)[:, None]))
-                        if not len(at_q):
-                            continue
-                        new = np.zeros(len(at_q), kind)
-                        new["q"], new["twin"], new["id"] = at_q, twins[lo : lo + step][at_x], part_ids[at_x]
-                        for i in range(0, len(at_q), 20_000):
-                            a, b = at_q[i : i + 20_000], at_x[i : i + 20_000]
-                            with np.errstate(all="ignore"):
-                                new["cos"][i : i + 20_000] = _dots(part_x[b], y[a]) / (part_norm[b] * size[a])
-                        held[w], found, value = _best(np.concatenate([held[w], new]), k)
-                        bounds[w][found] = value
-            for w, rows in held.items():
-                for lo in range(0, len(rows), 100_000):
-                    some = rows[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(shared.value[w][0][some["q"]]), pa.array(some["id"]), pa.array(some["cos"])], ["query_id", "vec_id", "cos"])
-
-        pairs = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, cos double")
-        scored = pairs.select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), "cos"), 6).alias("score")).where("score > 0")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return scored.withColumn("place", place).where(F.col("place") <= k)
+                    if w in found:
+                        found[w].see(ids, x)
+            for best in found.values():
+                yield from best.batches()
+
+        return placed(vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, cos double"), k)
 
     if blocks <= 1:
         return asked(queries)

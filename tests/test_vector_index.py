@@ -1,10 +1,11 @@
 """The inverted-file index against exact search."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithograph.operators import vector_index as V
-from lithograph.operators.search import nearest
+from lithograph.operators.search import dot, nearest
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -53,3 +54,35 @@ def test_odd_vectors_and_empty_tables(spark, tmp_path):
     assert {q for q, _ in _pairs(found)} == {1, 2, 8}
     none = V.build(rows.limit(0), str(tmp_path / "none"))
     assert V.probes(none, rows, 3) == 0 and V.search(none, rows, 3, 0).count() == 0
+
+
+def plain(index, queries, k, cells):
+    """The rows of the probed cells, joined to the queries and scored one by one by column functions."""
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    q = V._ranked(queries, index.centroids, cells).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.explode("cells").alias("cell")).where("cell >= 0")
+    score = F.round(F.greatest(F.lit(0.0), dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q"))), 6)
+    rows = index.rows.join(q, "cell").where("vec_id <> query_id").select("query_id", "vec_id", score.alias("score")).where("score > 0")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
+def test_probed_cells_are_scored_by_blocks_in_one_pass(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    some = rng.standard_normal((900, 8)).astype(np.float32).tolist()
+    data = [(i, some[i % 900]) for i in range(2600)]  # copies, so that scores tie
+    data += [(i, some[7]) for i in range(2600, 3400)]  # and one cell has a fourth of the rows
+    data += [(None, some[0]), (40, some[41]), (5000, [0.0] * 8), (5001, None), (5002, [1.0] * 3), (5003, [float("nan")] * 8)]
+    rows = spark.createDataFrame(data, SCHEMA).repartition(7)
+    index = V.build(rows, str(tmp_path / "index"))
+    queries = rows.where("vec_id % 8 = 0 or vec_id > 5000 or vec_id is null")
+    asked, cells = queries.count(), len(index.centroids) - 3
+    assert asked * cells > 20_000  # two blocks of joined rows before
+    found = V.search(index, queries, 10, cells)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Union" not in plan
+    kept = lambda df: sorted((r["query_id"], r["place"], r["vec_id"], r["score"]) for r in df.collect())
+    for few in (cells, 4):
+        want = kept(plain(index, queries, 10, few))
+        assert len(want) > 3000 and kept(V.search(index, queries, 10, few)) == want
+    assert kept(V.search(index, queries, 10, 4, 500)) == want  # in blocks
+    assert V.search(index, queries, 10, 0).count() == 0 and V.search(index, queries.limit(0), 10, 4).count() == 0
