@@ -146,8 +146,8 @@ def probes(index: Index, queries: DataFrame, k: int, recall: float = RECALL, mea
     truth = cut(nearest(index.rows, some, k))
     order = _ranked(some, index.centroids, len(index.centroids)).select(F.col("vec_id").alias("query_id"), "cells")
     cell_of = index.rows.join(F.broadcast(truth.select("vec_id").distinct()), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("cell").alias("cell"))
-    placed = cell_of.join(F.broadcast(truth), "vec_id").join(F.broadcast(order), "query_id")
-    at = sorted(r["at"] for r in placed.select(F.array_position("cells", F.col("cell")).alias("at")).collect())  # measured * k at most
+    both = cell_of.join(F.broadcast(truth), "vec_id").join(F.broadcast(order), "query_id")
+    at = sorted(r["at"] for r in both.select(F.array_position("cells", F.col("cell")).alias("at")).collect())  # measured * k at most
     return max(1, int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)])) if at else 1
 
 
