@@ -60,13 +60,18 @@ def _closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, most_cells: int = MOST_CELLS) -> np.ndarray:
     """Centroids (cells, dimensions): the square root of the row count many, ``most_cells`` at most."""
-    usable = vectors.where(F.size("embedding") > 0)
-    taken = usable.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(sample).toArrow().column(0).combine_chunks()
+    usable, key = vectors.where(F.size("embedding") > 0), F.xxhash64("vec_id")
+    n = usable.count()
+    first = lambda rows: rows.orderBy(key, "vec_id").select("embedding").limit(sample).toArrow().column(0).combine_chunks()
+    # about one and a half times the sample lies below the bound, so that the task that sorts it gets no sample of every task
+    taken = first(usable.where(key < int(2**64 * (1.5 * sample / n)) - 2**63) if n > 2 * sample else usable)
+    if len(taken) < min(n, sample):  # repeated ids have one hash
+        taken = first(usable)
     if not len(taken):
         return np.zeros((0, 0), np.float32)
     widths = Counter(pc.list_value_length(taken).to_pylist())
     x = _unit(_matrix(taken, max(widths, key=lambda w: (widths[w], -w)))[1])
-    cells = min(round(usable.count() ** 0.5), most_cells, len(x))
+    cells = min(round(n ** 0.5), most_cells, len(x))
     rng = np.random.default_rng(SEED)
     centroids = x[np.sort(rng.choice(len(x), cells, replace=False))]
     for _ in range(ROUNDS):

@@ -86,3 +86,20 @@ def test_probed_cells_are_scored_by_blocks_in_one_pass(spark, tmp_path):
         assert len(want) > 3000 and kept(V.search(index, queries, 10, few)) == want
     assert kept(V.search(index, queries, 10, 4, 500)) == want  # in blocks
     assert V.search(index, queries, 10, 0).count() == 0 and V.search(index, queries.limit(0), 10, 4).count() == 0
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, rng.standard_normal(4).tolist()) for i in range(1000)]
+    same = [(11, v) for _, v in data[:990]] + data[990:]
+    for rows in (data, same):
+        df = spark.createDataFrame(rows, SCHEMA)
+        few = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(20)
+        # as many cells as the sample has rows, and not moved: the sample itself
+        rounds, V.ROUNDS = V.ROUNDS, 0
+        try:
+            got = V.fit(df.repartition(9), 20, 20)
+        finally:
+            V.ROUNDS = rounds
+        unit = V._unit(np.array([r["embedding"] for r in few.collect()], np.float32))
+        assert len(got) == 20 and (rows is same or np.array_equal(got, unit))
