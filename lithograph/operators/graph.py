@@ -280,17 +280,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = new
 
 
-def community_dependencies(communities: DataFrame, members: DataFrame, edges: DataFrame, evidence: int = 24, digits: int = 4) -> DataFrame:
-    """Edges between leaf communities by mapped type: weight, mean confidence, count, first edge ids."""
+def community_dependencies(communities: DataFrame, members: DataFrame, edges: DataFrame, evidence: int = 24, digits: int = 4, last: list[str] | None = None, made: Column | None = None) -> DataFrame:
+    """Edges between leaf communities by mapped type: weight, mean confidence, count, first edge ids.
+
+    ``edges`` may be links, of which the last of the same ends and type, by the columns ``last``, is an edge; its id is then
+    ``made`` of these. So links are shuffled once for their sources and their last, edges once for their targets, and no id is.
+    """
     parents = communities.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
     leaves = communities.join(parents, "id", "left_anti").select(F.col("id").alias("community_id"))
     home = members.join(leaves, "community_id", "left_semi").groupBy("node_id").agg(F.min("community_id").alias("community"))
     ends = edges.where(~F.col("type").isin("contains", "defines"))
-    for side in ("source", "target"):
-        ends = ends.join(home.select(F.col("node_id").alias(f"{side}_id"), F.col("community").alias(f"{side}_community_id")), f"{side}_id")
+    at = lambda side: home.select(F.col("node_id").alias(f"{side}_id"), F.col("community").alias(f"{side}_community_id"))
+    ends = ends.join(at("source"), "source_id")
+    if last:
+        order = F.struct(*last, *[c for c in ("weight", "confidence") if c not in last])
+        ends = ends.groupBy("source_id", "type", "target_id", "source_community_id").agg(F.max(order).alias("x")).select("source_id", "type", "target_id", "source_community_id", "x.weight", "x.confidence")
+    ends = ends.join(at("target"), "target_id")
     kind = lookup(COMMUNITY_TYPES, F.col("type"), "depends_on")
     keys = ["source_community_id", "target_community_id", "kind"]
     rows = ends.where("source_community_id <> target_community_id").withColumn("kind", kind)
+    rows = rows if made is None else rows.withColumn("id", made)
     # both sides read the same columns, ids counted here and weights as ties there, so that what is joined is shuffled once for both
     sums = rows.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0.01), "weight")).alias("weight"), F.avg("confidence").alias("confidence"), F.count("*").alias("edge_count"), F.count("id").alias("ids")).where("ids >= 0")
     # a group may hold any number of edges; only its first ids are ever gathered

@@ -8,7 +8,7 @@ from lithograph.functions.files import is_noise, is_test, module_of
 from lithograph.functions.scalars import digest_id
 from lithograph.operators import graph as G
 from lithograph.operators import ordered as O
-from lithograph.plans.registry import last_links, query
+from lithograph.plans.registry import last_links, link_id, query
 
 WEIGHT = "CASE type WHEN 'calls' THEN 1.0 WHEN 'routes_to' THEN 1.0 WHEN 'references' THEN 0.7 WHEN 'contains' THEN 0.58 ELSE 0.35 END"
 
@@ -176,7 +176,7 @@ SELECT s AS source_community_id, t AS target_community_id, kind, round(sum(great
 )
 def _(m):
     # suppliers and orders sit in communities; link them through shared parts
-    return G.community_dependencies(m.communities, m.members, m.edges, digits=9)
+    return G.community_dependencies(m.communities, m.members, m.links, digits=9, last=["seq", "weight", "confidence"], made=link_id())
 
 
 @query(
