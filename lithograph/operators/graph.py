@@ -65,9 +65,14 @@ def neighbours(nodes: DataFrame, edges: DataFrame, picked: DataFrame, outgoing:
     return near.join(nodes.select(F.col("id").alias(there), F.col("name").alias("other_name"), F.col("file_path").alias("other_path")), there)
 
 
-def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, degree, centrality: both ends count, divided by the largest degree."""
-    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))  # one read of the edges
+def end_counts(edges: DataFrame) -> DataFrame:
+    """id, degree of what edges have at their ends; both ends count."""
+    return edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))  # one read of the edges
+
+
+def degree_centrality(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """id, degree, centrality: both ends count, divided by the largest degree. ``ends``: the counts of the edges, if they are known."""
+    ends = end_counts(edges) if ends is None else ends
     degrees = nodes.select("id").join(ends, "id", "left").fillna(0, ["degree"])
     most = degrees.agg(F.max("degree").alias("most"))
     return degrees.crossJoin(F.broadcast(most)).select("id", "degree", F.when(F.col("most") > 0, F.col("degree") / F.col("most")).otherwise(0.0).alias("centrality"))
@@ -78,6 +83,31 @@ def within(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(*edges.columns)
 
 
+def ends_within(edges: DataFrame, ids: DataFrame, last=None) -> DataFrame:
+    """source_id, target_id of the edges with both ends in ids(id); of links, if ``last`` makes edges of them, those of the same ends and type are one edge.
+
+    Links meet their sources and are made one in the same partitions, then meet their targets; nothing else of them is shuffled.
+    """
+    known = ids.select("id").distinct()
+    rows = edges.select("source_id", "type", "target_id").join(known.withColumnRenamed("id", "source_id"), "source_id")
+    rows = rows.where("type is not null and target_id is not null").distinct() if last else rows
+    return rows.join(known.withColumnRenamed("id", "target_id"), "target_id").select("source_id", "target_id")
+
+
+def around(edges: DataFrame, picked: DataFrame, nodes: DataFrame, only: Column, last=None, inside: bool = False) -> DataFrame:
+    """The edges of a few picked(id), some hundreds at most, between nodes for which ``only`` holds; ``inside``: both ends are picked. ``last`` makes edges of links.
+
+    What else there is of the edges or links is passed over as it is read, and neither shuffled nor kept; ``only`` is asked of the ends.
+    """
+    few = [r["id"] for r in picked.select("id").distinct().collect()]
+    source, target = F.col("source_id").isin(few), F.col("target_id").isin(few)
+    out = edges.where(source & target if inside else source | target)
+    out = cut(last(out) if last else out)
+    ends = out.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    known = cut(nodes.join(_few(ends), "id", "left_semi"))
+    return within(out, _few(known.where(only).select("id")))
+
+
 def related_edges(edges: DataFrame, ids: DataFrame, limit: int = 140) -> DataFrame:
     """The most telling edges within a selection: heavier types first, then certain before inferred."""
     return within(edges, ids).orderBy(lookup(EDGE_WEIGHTS, F.col("type"), OTHER_WEIGHT).desc(), "is_inferred", "type", "source_id", "target_id").limit(limit)
@@ -170,12 +200,12 @@ def shortest_flow(nodes: DataFrame, edges: DataFrame, starts: DataFrame, targets
     return front.limit(0).select(F.lit(0).alias("step"), "id", F.lit(None).cast("string").alias("edge_id"))
 
 
-def expand(seeds: DataFrame, edges: DataFrame, hops: int, most: int = 60) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame | None, hops: int, most: int = 60, at=None) -> DataFrame:
     """id, hop, score: decayed expansion; a neighbour's score is parent * type weight * confidence * 0.78^hop.
 
-    Each hop takes the best neighbours until ``most`` nodes are selected (ties: by id).
+    Each hop takes the best neighbours until ``most`` nodes are selected (ties: by id). ``at`` gives the edges of a frontier, in place of ``edges``.
     """
-    both = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "type", "confidence").unionAll(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), "type", "confidence"))
+    ways = lambda edges: edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "type", "confidence").unionAll(edges.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), "type", "confidence"))
     chosen = cut(seeds.select("id", F.lit(0).alias("hop"), F.col("score").cast("double").alias("score")))
     front = chosen
     for hop in range(1, hops + 1):
@@ -184,6 +214,7 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int, most: int = 60) -> Dat
             break
         gain = lookup(EDGE_WEIGHTS, F.col("type"), OTHER_WEIGHT) * F.col("confidence")
         # the frontier has at most ``most`` rows, so it is the side to broadcast
+        both = ways(at(front) if at else edges)
         near = both.join(F.broadcast(front.select(F.col("id").alias("src"), "score")), "src").where("src <> dst").join(F.broadcast(chosen.select(F.col("id").alias("dst"))), "dst", "left_anti")
         best = near.groupBy(F.col("dst").alias("id")).agg(F.max(F.col("score") * gain * F.lit(DECAY**hop)).alias("score"))
         front = cut(best.orderBy(F.desc("score"), "id").limit(room).select("id", F.lit(hop).alias("hop"), "score"))

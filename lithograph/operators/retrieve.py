@@ -92,24 +92,25 @@ def chunk_hits(chunks: DataFrame, query: str, limit: int = CHUNKS) -> DataFrame:
     return chunks.join(F.broadcast(hits), "id")
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, hops: int = 2, semantic: DataFrame | None = None, members: DataFrame | None = None, most: int = CHUNKS, budget: int = TOKENS) -> Trace:
+def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, hops: int = 2, semantic: DataFrame | None = None, members: DataFrame | None = None, most: int = CHUNKS, budget: int = TOKENS, last=None) -> Trace:
     """The trace of a query.
 
     chunks(id, node_id, file_path, start_line, end_line, content, token_count, stamp); semantic(id,
     score): chunks by vector, if any; members(community_id, node_id). Test, generated and vendored files
-    are left out. Expansion takes at most four hops.
+    are left out. Expansion takes at most four hops. ``edges`` may be links of which ``last`` makes edges; of all of them only the
+    ends are counted, edges are made where the selection has them.
     """
     query = query.strip() or "repository overview"
     kept = nodes.where(~is_noise(F.col("file_path")))
-    within = G.cut(G.within(edges, kept.select("id")))
+    placed, clean = nodes.select("id", "file_path"), ~is_noise(F.col("file_path"))
     hits = chunk_hits(chunks, query)
     listed = hits.select("node_id", "file_path", "score", "position")
     if semantic is not None:
         found = chunks.join(F.broadcast(semantic.orderBy(F.desc("score"), "id").limit(most)), "id")
         listed = listed.unionByName(found.select("node_id", "file_path", "score", (F.lit(CHUNKS) + F.row_number().over(Window.orderBy(F.desc("score"), "id"))).alias("position")))
     start = seeds(nodes, query, listed)
-    chosen = G.expand(start, within, max(0, min(hops, 4)), NODES)
-    related = G.related_edges(within, chosen.select("id"), EDGES)
+    chosen = G.expand(start, None, max(0, min(hops, 4)), NODES, lambda front: G.around(edges, front, placed, clean, last))
+    related = G.related_edges(G.around(edges, chosen, placed, clean, last, True), chosen.select("id"), EDGES)
 
     keyword = hits.select("id", "score")
     vectors = keyword.limit(0) if semantic is None else semantic
@@ -117,7 +118,8 @@ def retrieve(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str,
     ids = keyword.select("id").union(vectors.select("id")).union(chunks.join(near, "node_id", "left_semi").select("id")).distinct()
     lock = F.array(*map(F.lit, LOCK_FILES))
     candidates = G.cut(chunks.join(ids, "id").where(~is_noise(F.col("file_path")) & ~F.array_contains(lock, base_name(F.col("file_path")))))
-    ranked = G.cut(R.hybrid_rank(candidates, kept, within, chosen.select("id", "hop"), keyword, vectors))
+    ends = G.cut(G.end_counts(G.ends_within(edges, kept, last)))
+    ranked = G.cut(R.hybrid_rank(candidates, kept, edges, chosen.select("id", "hop"), keyword, vectors, ends))
     order = [F.desc("score"), F.col("file_path"), F.col("start_line"), F.col("id")]
     packed = R.packed(ranked, "id", order, "token_count", budget, most)
     picked = ranked.join(F.broadcast(packed), "id").select("rank", *[c for c in ranked.columns])

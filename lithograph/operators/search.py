@@ -298,11 +298,11 @@ def freshness(rows: DataFrame, stamp: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).withColumn("freshness", value).drop("_lo", "_hi")
 
 
-def hybrid_rank(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, hops: DataFrame, keyword: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Chunks (id, node_id, file_path, start_line, stamp) with the five components and their weighted sum."""
+def hybrid_rank(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, hops: DataFrame, keyword: DataFrame, semantic: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Chunks (id, node_id, file_path, start_line, stamp) with the five components and their weighted sum. ``ends``: the edges' `end_counts`, if they are known."""
     best = lambda df, n: df.groupBy("id").agg(F.max(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias(n))
     rows = chunks.join(best(semantic, "semantic"), "id", "left").join(best(keyword, "keyword"), "id", "left")
-    central = degree_centrality(nodes, edges).select(F.col("id").alias("node_id"), F.col("centrality").alias("importance"))
+    central = degree_centrality(nodes, edges, ends).select(F.col("id").alias("node_id"), F.col("centrality").alias("importance"))
     rows = rows.join(central, "node_id", "left").join(hops.select(F.col("id").alias("node_id"), "hop"), "node_id", "left")
     rows = freshness(rows.withColumn("proximity", proximity(F.col("hop"))).fillna(0.0, ["semantic", "keyword", "importance"]), "stamp")
     total = sum((F.lit(w) * F.col(c) for c, w in HYBRID.items()), F.lit(0.0))

@@ -8,12 +8,12 @@ from lithograph.operators import graph as G
 from lithograph.operators import retrieve as V
 from lithograph.operators import translations as TR
 from lithograph.operators import wiki as W
-from lithograph.plans.registry import query
+from lithograph.plans.registry import last_links, query
 
 
 @query("qry_01_retrieve")
 def _(m):
-    return V.rows(V.retrieve(m.nodes, m.edges, m.chunks, "red steel part", members=m.members))
+    return V.rows(V.retrieve(m.nodes, m.links, m.chunks, "red steel part", members=m.members, last=last_links))
 
 
 @query(
